@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textloom.llm import mixing, warc
+from textloom.llm import contamination, mixing, repetition, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = contamination.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return contamination.digest(scanned)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -21,8 +27,15 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_table(spark, sf_dir, "pages")).drop("record_id", "target_uri")
 
 
+def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repetition.measure(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select(F.col("row")["doc_id"].alias("doc_id"), *[c for c in out.columns if c != "row"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_contamination": op3_contamination,
     "op5_mixing": op5_mixing,
     "op8_warc": op8_warc,
+    "op9_repetition": op9_repetition,
 }
 ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE}
