@@ -23,7 +23,7 @@ def brute(text: str) -> tuple:
     repeated = len(inside(3, False))
     grams = [sum(len(words[i]) for i in inside(n, True)) for n in range(5, 11)]
     failed = len(words) < 50 or 100 * repeated > 50 * len(words)
-    kept = not failed and dup <= 0.3 * len(lines) and dup_chars <= 0.2 * chars and all(g <= m * chars for g, m in zip(grams, repetition.MOST_IN_GRAMS.values()))
+    kept = not failed and dup_chars <= 0.2 * chars and all(g <= m * chars for g, m in zip(grams, repetition.MOST_IN_GRAMS.values()))
     return (len(words), chars, len(re.findall(r"[#*$%&|<>]", text)), dup, repeated, len(lines), dup_chars, *grams, failed, kept)
 
 

@@ -21,8 +21,8 @@ LEAST_WORDS = 50
 MOST_REPEATED_WORDS = 50
 #: Most of a text's characters that may lie in repeats of an n-gram, first ones left out, by n.
 MOST_IN_GRAMS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-#: Most of the lines, and of the characters, that may be lines seen before.
-MOST_LINES, MOST_LINE_CHARS = 0.30, 0.20
+#: Most of the characters that may lie in lines seen before. Their share of lines says little of a text of few lines.
+MOST_LINE_CHARS = 0.20
 
 FIELDS = ", ".join(["n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, dup_line_chars long", *(f"dup_chars_{n} long" for n in MOST_IN_GRAMS), "base_failed boolean, kept boolean"])
 
@@ -89,7 +89,7 @@ def kernel(data: np.ndarray, offsets: np.ndarray) -> list:
     dup_line_chars = np.bincount(l_row[again], l_chars[again], minlength=n_rows).astype(np.int64)
 
     failed = (n_words < LEAST_WORDS) | (100 * n_repeat_words > MOST_REPEATED_WORDS * n_words)
-    kept = ~failed & (dup_lines <= MOST_LINES * n_lines) & (dup_line_chars <= MOST_LINE_CHARS * chars)
+    kept = ~failed & (dup_line_chars <= MOST_LINE_CHARS * chars)
     for most, found in zip(MOST_IN_GRAMS.values(), in_grams, strict=True):
         kept &= found <= most * chars
     return [n_words, chars, symbols, dup_lines, n_repeat_words, n_lines, dup_line_chars, *in_grams, failed, kept]
