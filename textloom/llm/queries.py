@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import contamination, mixing, repetition, warc
+from textloom.llm import contamination, lines, mixing, repetition, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.cut(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select(F.col("row")["doc_id"].alias("doc_id"), "n_lines", F.size("cut").cast("long").alias("n_cut"), "text")
+
+
 def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = contamination.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return contamination.digest(scanned)
@@ -33,9 +38,10 @@ def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lines": op1_lines,
     "op3_contamination": op3_contamination,
     "op5_mixing": op5_mixing,
     "op8_warc": op8_warc,
     "op9_repetition": op9_repetition,
 }
-ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_lines": lines.ORACLE, "op5_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE}
