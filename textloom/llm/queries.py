@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import contamination, lines, mixing, repetition, warc
+from textloom.llm import contamination, lines, mixing, neardup, repetition, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +37,16 @@ def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row")["doc_id"].alias("doc_id"), *[c for c in out.columns if c != "row"])
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.grouped(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lines": op1_lines,
     "op3_contamination": op3_contamination,
     "op5_mixing": op5_mixing,
     "op8_warc": op8_warc,
+    "op10_neardup": op10_neardup,
     "op9_repetition": op9_repetition,
 }
 ORACLE_SQL: dict[str, str] = {"op1_lines": lines.ORACLE, "op5_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE}
