@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import contamination, lines, mixing, neardup, repetition, suffixes, warc
+from textloom.llm import contamination, extraction, lines, mixing, neardup, repetition, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.dedup(_table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select(F.col("row")["doc_id"].alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lines": op1_lines,
     "op3_contamination": op3_contamination,
     "op5_mixing": op5_mixing,
+    "op6_extraction": op6_extraction,
     "op7_suffixes": op7_suffixes,
     "op8_warc": op8_warc,
     "op10_neardup": op10_neardup,
