@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import contamination, extraction, lines, mixing, neardup, repetition, suffixes, warc
+from textloom.llm import contamination, extraction, lines, mixing, neardup, quality, repetition, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,12 @@ def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row")["doc_id"].alias("doc_id"), "n_lines", F.size("cut").cast("long").alias("n_cut"), "text")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), carry=["doc_id"])
+    doc_id = F.col("row")["doc_id"]
+    return out.select(doc_id.alias("doc_id"), quality.held_out(doc_id).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = contamination.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return contamination.digest(scanned)
@@ -52,6 +58,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lines": op1_lines,
+    "op2_quality": op2_quality,
     "op3_contamination": op3_contamination,
     "op5_mixing": op5_mixing,
     "op6_extraction": op6_extraction,
