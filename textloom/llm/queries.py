@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import contamination, extraction, lines, mixing, neardup, quality, repetition, suffixes, warc
+from textloom.llm import contamination, extraction, licenses, lines, mixing, neardup, quality, repetition, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.digest(scanned)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    named = F.array_sort(F.array_distinct(F.filter(F.col("blocks.license"), lambda x: x.isNotNull())))
+    return out.select(F.col("row")["doc_id"].alias("doc_id"), F.size("blocks").cast("long").alias("n_found"), named.alias("licenses"), "blocks")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lines": op1_lines,
     "op2_quality": op2_quality,
     "op3_contamination": op3_contamination,
+    "op4_licenses": op4_licenses,
     "op5_mixing": op5_mixing,
     "op6_extraction": op6_extraction,
     "op7_suffixes": op7_suffixes,
