@@ -13,8 +13,8 @@ such a pair falls below the cut, over five standard errors away, less often stil
 Skew. Documents of equal sets are one class, joined to its smallest id, so copies are never paired. In each bucket of a
 band all members are first paired with the smallest one: n - 1 pairs for n members. Confirmed pairs give components;
 buckets that lie in one component need nothing more, whatever their size. In others, members of different components
-are compared by their registers, in blocks of at most ``BLOCK`` by ``BLOCK`` members, and likely pairs are confirmed.
-Every candidate pair of a bucket is thus confirmed, discarded by its estimate, or within a component already.
+are compared by their registers, in blocks of about ``BLOCK`` by ``BLOCK`` members with their texts, and likely pairs
+are confirmed there, so only links leave a block, however many members are nearly alike. Every candidate pair of a bucket is thus confirmed, discarded by its estimate, or within a component already.
 
 Cases: a null, empty or blank text has an empty set, is linked with nothing and kept; fewer than five words are one
 shingle; rows of equal ids are one document as far as links go, and each keeps its row; a null id gets the smallest id
@@ -42,7 +42,7 @@ REGISTERS = BANDS * ROWS
 BASE = 1.02
 #: Pairs whose likeliest similarity is this much below the threshold are not confirmed: over four standard errors.
 MARGIN = 0.15
-BLOCK = 512
+BLOCK = 256
 _GRID = np.linspace(0.0, 1.0, 101)
 
 
@@ -145,25 +145,38 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _bands_shared(regs: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The first band in which each row of ``regs`` agrees with ``other`` in full; BANDS if none."""
+    same = (regs == other).reshape(-1, ROWS, BANDS).all(1)
+    return np.where(same.any(1), same.argmax(1), BANDS)
+
+
 def _across(table: pa.Table) -> pa.Table:
-    """Likely pairs of members of one block pair that lie in different components."""
+    """Linked pairs of members of one block pair that lie in different components, confirmed on their full sets. A pair
+    is looked at in the first band that it shares and nowhere else."""
     least = THRESHOLD[0] / THRESHOLD[1] - MARGIN
-    table = table.combine_chunks()
-    ids, comp, n, side = (table[c].to_numpy() for c in ("id", "component", "n", "side"))
+    ids, comp, n, side, band = (table[c].to_numpy() for c in ("id", "component", "n", "side", "band"))
     regs = _matrix(table["regs"])
+    data, offsets = kernels.buffers(table["text"])
+    sets: dict[int, np.ndarray] = {}
+    for low, high in kernels.slices(offsets):
+        at = offsets[low : high + 1]
+        found, first = shingles(data[at[0] : at[-1]], at - at[0])
+        sets |= {low + k: found[first[k] : first[k + 1]] for k in range(high - low)}
     left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)  # 1: a block against itself
-    out_a, out_b = [], []
+    out = []
     for i in left.tolist():
         other = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (side[right] != 1))]
+        other = other[np.minimum(n[other], n[i]) * THRESHOLD[1] >= np.maximum(n[other], n[i]) * THRESHOLD[0]]
+        other = other[_bands_shared(regs[other], regs[i]) == band[i]]
         if not len(other):
             continue
-        equal = (regs[other] == regs[i]).sum(1)
-        other = other[equal >= REGISTERS * (least - 0.05)]
-        if len(other):
-            ok = estimated(np.repeat(regs[i][None], len(other), 0), regs[other], np.full(len(other), float(n[i])), n[other].astype(float)) >= least
-            out_a += [ids[i]] * int(ok.sum())
-            out_b += ids[other[ok]].tolist()
-    return pa.table({"a": pa.array(np.minimum(out_a, out_b), pa.int64()), "b": pa.array(np.maximum(out_a, out_b), pa.int64())})
+        likely = estimated(np.repeat(regs[i][None], len(other), 0), regs[other], np.full(len(other), float(n[i])), n[other].astype(float)) >= least
+        for j in other[likely].tolist():
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if THRESHOLD[1] * both >= THRESHOLD[0] * (len(sets[i]) + len(sets[j]) - both):
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -184,17 +197,40 @@ def components(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def _pairs_confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, prune: bool) -> DataFrame:
-    if prune:
-        regs = sets.select("id", "n", "regs")
-        pairs = pairs.join(regs.toDF("a", "n_a", "regs_a"), "a").join(regs.toDF("b", "n_b", "regs_b"), "b")
-        pairs = saved(pairs.mapInArrow(_likely, "a long, b long"), "pairs")
+def _star_links(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those pairs (a, b) that are linked: likely by their registers, then confirmed on their texts."""
+    regs = sets.select("id", "n", "regs")
+    pairs = pairs.join(regs.toDF("a", "n_a", "regs_a"), "a").join(regs.toDF("b", "n_b", "regs_b"), "b")
+    pairs = saved(pairs.mapInArrow(_likely, "a long, b long"), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     own = saved(texts.join(ends, "id", "left_semi").dropDuplicates(["id", "text"]), "ends")
     joined = pairs.join(own.toDF("a", "text_a"), "a").join(own.toDF("b", "text_b"), "b")
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long").distinct()
 
 
+def _cross_links(members: DataFrame, labels: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between members of different components of a bucket. Its largest component is blocked apart from the rest,
+    as no two of its members need comparing: a row of it goes to as many block pairs as the rest has blocks."""
+    labelled = members.join(labels, "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component"))
+    counts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    bucket = counts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("big"), F.sum("n").alias("size"), F.count("*").alias("parts")).where("parts > 1 AND size > 2")
+    bucket = bucket.select("bucket", F.col("big.component").alias("big"), F.ceil(F.col("big.n") / BLOCK).cast("int").alias("m"), F.ceil((F.col("size") - F.col("big.n")) / BLOCK).cast("int").alias("r"))
+    rows = labelled.join(bucket, "bucket")
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    cell = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    count = lambda n: F.sequence(F.lit(0), n - 1)
+    m, r = F.col("m"), F.col("r")
+    of_big = F.transform(count(r), lambda k: cell(k, own(m) + r, F.lit(2)))
+    of_rest = F.concat(
+        F.transform(count(m), lambda k: cell(own(r), k + r, F.lit(0))),
+        F.transform(count(r), lambda k: cell(F.least(own(r), k), F.greatest(own(r), k), F.when(own(r) == k, 1).when(own(r) < k, 0).otherwise(2))),
+    )
+    cells = rows.select("bucket", "band", "id", "component", F.explode(F.when(F.col("component") == F.col("big"), of_big).otherwise(of_rest)).alias("x")).select("bucket", "band", "id", "component", "x.*")
+    ends = cells.select("id").distinct()
+    own_rows = saved(texts.join(ends, "id", "left_semi").dropDuplicates(["id", "text"]).join(sets.select("id", "n", "regs"), "id"), "members")
+    return cells.join(own_rows, "id").groupBy("bucket", "i", "j").applyInArrow(_across, "a long, b long").distinct()
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -203,23 +239,13 @@ def grouped(docs: DataFrame) -> DataFrame:
     # one row for each distinct set, named by its smallest id
     sets = saved(sketched.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "sets")
     texts = rows.withColumnRenamed("doc_id", "id")
-    banded = sets.where("id IS NOT NULL").select(F.explode("bands").alias("bucket"), "id")
-    first = banded.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1")
+    banded = sets.where("id IS NOT NULL").select("id", F.posexplode("bands").alias("band", "bucket"))
+    first = banded.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1").select("bucket", "a")
     members = saved(banded.join(first, "bucket"), "members")
     star = members.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = saved(_pairs_confirmed(star, sets, texts, True), "confirmed")
+    links = saved(_star_links(star, sets, texts), "links")
     labels = components(links)
-    # buckets that lie in several components
-    labelled = members.join(labels, "id", "left").select("bucket", "size", "id", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    many = labelled.join(mixed, "bucket")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(own == j, 1).when(own < j, 0).otherwise(2).alias("side")))
-    parts = many.where("size > 2").select("bucket", "id", "component", F.explode(others).alias("x")).select("bucket", "id", "component", "x.i", "x.j", "x.side")
-    parts = parts.join(sets.select("id", "n", "regs"), "id")
-    across = parts.groupBy("bucket", "i", "j").applyInArrow(_across, "a long, b long").distinct()
-    more = saved(_pairs_confirmed(saved(across.join(star, ["a", "b"], "left_anti"), "across"), sets, texts, False), "confirmed")
+    more = saved(_cross_links(members, labels, sets, texts), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
     by_set = sets.join(labels, "id", "left").select("set", F.coalesce("component", "id").alias("component"))
