@@ -6,6 +6,7 @@ so no window spans the whole table except ranks that are asked for.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +24,6 @@ def entropy(counts: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
 
 def byte_entropy(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Entropy of each text's bytes, by a histogram in numpy."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def bits(texts: pd.Series) -> pd.Series:
         import numpy as np
