@@ -7,14 +7,16 @@ and documents that share all registers of a band are candidates. The likelihood
 greater, less and equal, given both set sizes, estimates the similarity of a candidate; only those whose best estimate
 is clearly below the threshold go, and every other pair is confirmed on the full sets.
 
-With 30 bands of 5 registers a pair of similarity 0.85 shares no band with a probability of 2e-8, and the estimate of
-such a pair falls below the cut, over five standard errors away, less often still.
+With 20 bands of 5 registers a pair of similarity 0.85 shares no band with a probability of 8e-6 at most, and the
+estimate of such a pair falls below the cut, over four standard errors away, about as rarely; both fall fast for pairs
+more alike.
 
 Skew. Documents of equal sets are one class, joined to its smallest id, so copies are never paired. In each bucket of a
 band all members are first paired with the smallest one: n - 1 pairs for n members. Confirmed pairs give components;
 buckets that lie in one component need nothing more, whatever their size. In others, members of different components
-are compared by their registers, in blocks of about ``BLOCK`` by ``BLOCK`` members with their texts, and likely pairs
-are confirmed there, so only links leave a block, however many members are nearly alike. Every candidate pair of a bucket is thus confirmed, discarded by its estimate, or within a component already.
+are compared by their registers, in blocks of about ``BLOCK`` by ``BLOCK`` members; members that have a likely partner
+get their texts, and likely pairs are confirmed in the block, so only members and links leave it, however many are nearly
+alike. Every candidate pair of a bucket is thus confirmed, discarded by its estimate, or within a component already.
 
 Cases: a null, empty or blank text has an empty set, is linked with nothing and kept; fewer than five words are one
 shingle; rows of equal ids are one document as far as links go, and each keeps its row; a null id gets the smallest id
@@ -37,12 +39,16 @@ from textloom.llm.texts import map_texts, named
 WORDS = 5
 #: Linked when THRESHOLD[1] * intersection >= THRESHOLD[0] * union.
 THRESHOLD = (85, 100)
-BANDS, ROWS = 30, 5
+BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
-BASE = 1.02
+BASE = 1.1
+#: What is added to exponents so that one byte holds those of sets of 1 to 10 ** 8 shingles.
+SHIFT = 40
 #: Pairs whose likeliest similarity is this much below the threshold are not confirmed: over four standard errors.
-MARGIN = 0.15
+MARGIN = 0.16
 BLOCK = 256
+#: Up to so many candidates' ids (8 bytes each) are broadcast to pick out their texts; beyond, texts are shuffled.
+MOST_BROADCAST = 1_000_000
 _GRID = np.linspace(0.0, 1.0, 101)
 
 
@@ -71,13 +77,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def registers(found: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A matrix of registers (uint16) with a row for each non-empty set."""
+    """A matrix of registers (bytes) with a row for each non-empty set."""
     full = first[:-1][np.diff(first) > 0]
-    out = np.empty((len(full), REGISTERS), np.uint16)
+    out = np.empty((len(full), REGISTERS), np.uint8)
     for k, a in enumerate(_multipliers()):
         least = np.minimum.reduceat(found * a, full) if len(full) else np.zeros(0, np.uint64)
         exponential = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64)
-        out[:, k] = np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)) + 64, 0, 65535)
+        out[:, k] = np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)) + SHIFT, 0, 255)
     return out
 
 
@@ -85,20 +91,27 @@ def _sketch(data: np.ndarray, offsets: np.ndarray) -> list:
     found, first = shingles(data, offsets)
     n = np.diff(first)
     full = n > 0
-    sets, sketch, bands = [None] * len(n), [None] * len(n), [None] * len(n)
+    sets, sketch = [None] * len(n), [None] * len(n)
     if full.any():
         at = first[:-1][full]
         a, b = (np.add.reduceat(kernels.mixed(found + np.uint64(s)), at) for s in (1, 2))
         regs = registers(found, first)
-        keys = np.zeros((len(regs), BANDS), np.uint64)
-        for j in range(ROWS):
-            keys = keys * np.uint64(0xD6E8FEB86659FD93) + regs[:, j::ROWS]
-        keys = kernels.mixed(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
         for k, i in enumerate(np.flatnonzero(full).tolist()):
             sets[i] = a[k].tobytes() + b[k].tobytes()
             sketch[i] = regs[k].tobytes()
-            bands[i] = keys[k]
-    return [n, pa.array(sets, pa.binary()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+    return [n, pa.array(sets, pa.binary()), pa.array(sketch, pa.binary())]
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, band, bucket: a bucket is the hash of a band's number and registers."""
+    for batch in batches:
+        regs = _matrix(batch.column("regs"))
+        keys = np.zeros((len(regs), BANDS), np.uint64)
+        for j in range(ROWS):
+            keys = keys * np.uint64(0xD6E8FEB86659FD93) + regs[:, j * BANDS : (j + 1) * BANDS]
+        keys = kernels.mixed(kernels.mixed(keys) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(regs)), BANDS)))
+        yield pa.record_batch([ids, pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(regs))), pa.array(keys.ravel())], ["id", "band", "bucket"])
 
 
 def estimated(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -121,7 +134,7 @@ def estimated(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 def _matrix(column: pa.Array) -> np.ndarray:
     data, offsets = kernels.buffers(column)
-    return data.view(np.uint16).reshape(len(offsets) - 1, REGISTERS)
+    return data.reshape(len(offsets) - 1, REGISTERS)
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,28 +164,45 @@ def _bands_shared(regs: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.where(same.any(1), same.argmax(1), BANDS)
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Linked pairs of members of one block pair that lie in different components, confirmed on their full sets. A pair
-    is looked at in the first band that it shares and nowhere else."""
+def _likely_in_block(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of the left block with the rows of the right one that are likely linked to it, of another component. A
+    pair is looked at in the first band that it shares and nowhere else."""
     least = THRESHOLD[0] / THRESHOLD[1] - MARGIN
     ids, comp, n, side, band = (table[c].to_numpy() for c in ("id", "component", "n", "side", "band"))
     regs = _matrix(table["regs"])
+    left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)  # 1: a block against itself
+    for i in left.tolist():
+        other = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (side[right] != 1))]
+        other = other[np.minimum(n[other], n[i]) * THRESHOLD[1] >= np.maximum(n[other], n[i]) * THRESHOLD[0]]
+        other = other[_bands_shared(regs[other], regs[i]) == band[i]]
+        if len(other):
+            likely = estimated(np.repeat(regs[i][None], len(other), 0), regs[other], np.full(len(other), float(n[i])), n[other].astype(float)) >= least
+            if likely.any():
+                yield i, other[likely]
+
+
+def _partnered(table: pa.Table) -> pa.Table:
+    """The rows of a block pair that have a likely partner."""
+    table = table.combine_chunks()
+    keep = np.zeros(len(table), bool)
+    for i, other in _likely_in_block(table):
+        keep[i] = True
+        keep[other] = True
+    return table.filter(pa.array(keep))
+
+
+def _across(table: pa.Table) -> pa.Table:
+    """Linked pairs of a block pair's likely ones, confirmed on their full sets."""
+    ids = table["id"].to_numpy()
     data, offsets = kernels.buffers(table["text"])
     sets: dict[int, np.ndarray] = {}
     for low, high in kernels.slices(offsets):
         at = offsets[low : high + 1]
         found, first = shingles(data[at[0] : at[-1]], at - at[0])
         sets |= {low + k: found[first[k] : first[k + 1]] for k in range(high - low)}
-    left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)  # 1: a block against itself
     out = []
-    for i in left.tolist():
-        other = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (side[right] != 1))]
-        other = other[np.minimum(n[other], n[i]) * THRESHOLD[1] >= np.maximum(n[other], n[i]) * THRESHOLD[0]]
-        other = other[_bands_shared(regs[other], regs[i]) == band[i]]
-        if not len(other):
-            continue
-        likely = estimated(np.repeat(regs[i][None], len(other), 0), regs[other], np.full(len(other), float(n[i])), n[other].astype(float)) >= least
-        for j in other[likely].tolist():
+    for i, other in _likely_in_block(table):
+        for j in other.tolist():
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if THRESHOLD[1] * both >= THRESHOLD[0] * (len(sets[i]) + len(sets[j]) - both):
                 out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
@@ -202,9 +232,7 @@ def _star_links(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFram
     regs = sets.select("id", "n", "regs")
     pairs = pairs.join(regs.toDF("a", "n_a", "regs_a"), "a").join(regs.toDF("b", "n_b", "regs_b"), "b")
     pairs = saved(pairs.mapInArrow(_likely, "a long, b long"), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = saved(texts.join(ends, "id", "left_semi").dropDuplicates(["id", "text"]), "ends")
-    joined = pairs.join(own.toDF("a", "text_a"), "a").join(own.toDF("b", "text_b"), "b")
+    joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long").distinct()
 
 
@@ -226,22 +254,26 @@ def _cross_links(members: DataFrame, labels: DataFrame, sets: DataFrame, texts:
         F.transform(count(r), lambda k: cell(F.least(own(r), k), F.greatest(own(r), k), F.when(own(r) == k, 1).when(own(r) < k, 0).otherwise(2))),
     )
     cells = rows.select("bucket", "band", "id", "component", F.explode(F.when(F.col("component") == F.col("big"), of_big).otherwise(of_rest)).alias("x")).select("bucket", "band", "id", "component", "x.*")
-    ends = cells.select("id").distinct()
-    own_rows = saved(texts.join(ends, "id", "left_semi").dropDuplicates(["id", "text"]).join(sets.select("id", "n", "regs"), "id"), "members")
-    return cells.join(own_rows, "id").groupBy("bucket", "i", "j").applyInArrow(_across, "a long, b long").distinct()
+    columns = "bucket long, band int, id long, component long, i int, j int, side int, n long, regs binary"
+    cells = cells.join(sets.select("id", "n", "regs"), "id").select(*[c.split()[0] for c in columns.split(", ")])
+    likely = saved(cells.groupBy("bucket", "i", "j").applyInArrow(_partnered, columns), "likely")
+    return likely.join(texts, "id").groupBy("bucket", "i", "j").applyInArrow(_across, "a long, b long").distinct()
 
 
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = map_texts(rows, _sketch, "n long, set binary, regs binary, bands array<long>", ["doc_id"])
-    sketched = saved(sketched.select("row.doc_id", "n", "set", "regs", "bands"), "sketches")
+    sketched = map_texts(rows, _sketch, "n long, set binary, regs binary", ["doc_id"])
+    sketched = saved(sketched.select("row.doc_id", "n", "set", "regs"), "sketches")
     # one row for each distinct set, named by its smallest id
-    sets = saved(sketched.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "sets")
-    texts = rows.withColumnRenamed("doc_id", "id")
-    banded = sets.where("id IS NOT NULL").select("id", F.posexplode("bands").alias("band", "bucket"))
+    sets = saved(sketched.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs")), "sets")
+    banded = sets.where("id IS NOT NULL").select("id", "regs").mapInArrow(_banded, "id long, band int, bucket long")
     first = banded.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1").select("bucket", "a")
     members = saved(banded.join(first, "bucket"), "members")
+    ids = members.select("id").distinct()
+    if ids.count() <= MOST_BROADCAST:
+        ids = F.broadcast(ids)
+    texts = saved(rows.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
     star = members.where("id <> a").select("a", F.col("id").alias("b")).distinct()
     links = saved(_star_links(star, sets, texts), "links")
     labels = components(links)
