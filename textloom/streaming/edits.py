@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textloom.operators.graphs import reachable
@@ -57,7 +58,7 @@ def collected(stream: DataFrame, mode: str = "append", key: str | None = None, v
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
-    out = spark.read.schema(stream.schema.add("batch", "int")).parquet(f"{base}/out")
+    out = spark.read.schema(stream.schema.add("batch", T.IntegerType())).parquet(f"{base}/out")
     return latest(out, key, "batch").drop("batch") if key else out.drop("batch")
 
 
