@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.operators import duplicates as D
 from textloom.operators import lines as L
 from textloom.plans.registry import literal_sql, query, table
 from textloom.sources import corpus
@@ -95,9 +96,7 @@ _WINDOW = "w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', '
 
 def shared_window_documents(docs, n: int = 24):
     """doc_id of documents that share a window of n words with another. Windows are hashed before anything is shuffled."""
-    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    keys = F.transform(F.sequence(F.lit(1), F.size("ws") - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice("ws", i, n), " ")))
-    grams = docs.select("doc_id", words.alias("ws")).where(F.size("ws") >= n).select("doc_id", F.explode(keys).alias("h"))
+    grams = D.hashed_windows(docs, "doc_id", n)
     seen = grams.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
     return grams.join(seen, "h", "left_semi").select("doc_id").distinct()
 
