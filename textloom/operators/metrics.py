@@ -55,12 +55,13 @@ def halstead(tokens: DataFrame, keys: list[str], operators: list[str]) -> DataFr
 def surprisal(pairs: DataFrame) -> DataFrame:
     """Leave-one-region-out bigram surprisal. ``pairs``: lang, region, ctx, token, n (counts within the region).
     mean, p90 and max of -log2 of (c(pair) - local + 1) / (c(ctx) - local + |V| + 1); |V| is not left out."""
+    # counts over all regions in one table, counts within a region in another: two joins of the pairs in all
     pair = pairs.groupBy("lang", "ctx", "token").agg(F.sum("n").alias("pair_all"))
-    ctx_all = pairs.groupBy("lang", "ctx").agg(F.sum("n").alias("ctx_all"))
+    vocabulary = pair.groupBy("lang").agg(F.count_distinct("token").alias("v"), F.sum("pair_all").alias("all"))
+    every = pair.join(pair.groupBy("lang", "ctx").agg(F.sum("pair_all").alias("ctx_all")), ["lang", "ctx"]).join(F.broadcast(vocabulary), "lang")
     ctx_own = pairs.groupBy("lang", "region", "ctx").agg(F.sum("n").alias("ctx_own"))
-    vocabulary = pairs.groupBy("lang").agg(F.count_distinct("token").alias("v"), F.sum("n").alias("all"))
-    own = pairs.groupBy("lang", "region").agg(F.sum("n").alias("own"))
-    rows = pairs.join(pair, ["lang", "ctx", "token"]).join(ctx_all, ["lang", "ctx"]).join(ctx_own, ["lang", "region", "ctx"]).join(F.broadcast(vocabulary), "lang").join(own, ["lang", "region"]).where("all > own")
+    within = ctx_own.join(ctx_own.groupBy("lang", "region").agg(F.sum("ctx_own").alias("own")), ["lang", "region"])
+    rows = pairs.join(every, ["lang", "ctx", "token"]).join(within, ["lang", "region", "ctx"]).where("all > own")
     p = (F.col("pair_all") - F.col("n") + 1) / (F.col("ctx_all") - F.col("ctx_own") + F.col("v") + 1)
     bits = rows.select("lang", "region", "n", F.round(-F.log2(p), 9).alias("bits"))
     return bits.groupBy("lang", "region").agg(F.round(F.sum(F.col("bits") * F.col("n")) / F.sum("n"), 6).alias("mean"), F.round(F.percentile("bits", F.lit(0.9), F.col("n")), 6).alias("p90"), F.round(F.max("bits"), 6).alias("most"))
