@@ -181,3 +181,54 @@ def sibling_gates(c: DataFrame, least_shared: int = 2, most_apart: int = 8) -> D
     full = pairs.join(gates.withColumnsRenamed({"name": "x", "refs": "rx"}), ["ix", "path", "x"]).join(gates.withColumnsRenamed({"name": "y", "refs": "ry"}), ["ix", "path", "y"])
     apart = F.concat(F.array_except("rx", "ry"), F.array_except("ry", "rx"))
     return full.where((F.size(apart) > 0) & (F.size(apart) <= most_apart)).select("ix", "path", "x", "y", "shared", F.array_join(F.array_sort(apart), ",").alias("apart"))
+
+
+def reach_of(c: DataFrame) -> DataFrame:
+    """ix, name, token: every token in the closure of each function's references, by way of functions that they name."""
+    from textloom.operators.graphs import fixpoint
+
+    refs = c.select("ix", "name", F.explode("refs").alias("token")).distinct()
+    named = c.select("ix", F.col("name").alias("via")).distinct()
+    calls = refs.join(named, (refs["ix"] == named["ix"]) & (X.token_leaf(refs["token"]) == named["via"])).select(refs["ix"], "name", "via")
+    return fixpoint(refs, lambda new: new.join(calls.select("ix", F.col("via").alias("name"), F.col("name").alias("from_")), ["ix", "name"]).select("ix", F.col("from_").alias("name"), "token"), ["ix", "name", "token"])
+
+
+def surface_kind(c: DataFrame) -> DataFrame:
+    """ix, path, name, kind: gates by name, telemetry and identity by the object whose method they call."""
+    owner = lambda words: F.exists("refs", lambda r: F.coalesce(F.get(F.split(r, r"\."), F.size(F.split(r, r"\.")) - 2), F.lit("")).isin(words))
+    kinds = F.array_compact(F.array(F.when(F.col("name").rlike("^(check|verify|validate)"), "gate"), F.when(owner(TELEMETRY), "telemetry"), F.when(owner(STATUS), "identity")))
+    return c.select("ix", "path", "name", F.explode(kinds).alias("kind"))
+
+
+def retired_surfaces(c: DataFrame) -> DataFrame:
+    """Surfaces that a migration left behind: unchanged functions of a kind that still reach a surviving token and none of
+    those gained: ix, owner, kind, name."""
+    m = migrations(c)
+    lost = m.select("ix", "owner", F.explode("surviving").alias("token"))
+    gained = m.select("ix", "owner", F.explode("added").alias("token"))
+    after = reach_of(c).select((F.col("ix") - 1).alias("ix"), "name", "token")
+    same = adjacent(c).where("b_fp = a_fp").select("ix", "path", "name").join(surface_kind(c).select((F.col("ix") - 1).alias("ix"), "path", "name", "kind"), ["ix", "path", "name"])
+    old = after.join(lost, ["ix", "token"]).select("ix", "owner", "name").distinct()
+    new = after.join(gained, ["ix", "token"]).select("ix", "owner", "name").distinct()
+    return old.join(new, ["ix", "owner", "name"], "left_anti").join(same, ["ix", "name"]).where("name <> owner").select("ix", "owner", "kind", "name").distinct()
+
+
+def contract_splits(c: DataFrame) -> DataFrame:
+    """Behaviours and surfaces of a file that reach no terminal in common: ix, path, behaviour, surface, kind. Nothing is
+    told of a revision that looks names up dynamically."""
+    dynamic = c.select("ix", F.exists("refs", lambda r: X.token_leaf(r).isin(DYNAMIC)).alias("d")).groupBy("ix").agg(F.max("d").alias("d"))
+    names = c.select("ix", F.col("name").alias("leaf")).distinct()
+    ends = reach_of(c).withColumn("leaf", X.token_leaf(F.col("token"))).join(names, ["ix", "leaf"], "left_anti").groupBy("ix", "name").agg(F.collect_set("token").alias("ends"))
+    behave = c.where(F.col("name").rlike("^(decide|step|train|run|resume|execute|apply|process)")).select("ix", "path", F.col("name").alias("behaviour")).join(ends.toDF("ix", "behaviour", "x"), ["ix", "behaviour"])
+    surface = surface_kind(c).withColumnRenamed("name", "surface").join(ends.toDF("ix", "surface", "y"), ["ix", "surface"])
+    j = behave.join(surface, ["ix", "path"]).where(~F.arrays_overlap("x", "y")).join(F.broadcast(dynamic), "ix").where("NOT d")
+    return j.select("ix", "path", "behaviour", "surface", "kind")
+
+
+def untested_dimensions(c: DataFrame) -> DataFrame:
+    """Flattening functions that fewer than two distinct calls in tests exercise: ix, path, name, calls."""
+    users = c.where(F.exists("refs", lambda r: X.token_leaf(r).isin(FLATTEN)) & ~X.in_test(F.col("path"), F.col("name"))).select("ix", "path", "name")
+    tests = c.where(X.in_test(F.col("path"), F.col("name"))).select("ix", F.explode(F.map_keys("calls")).alias("call"))
+    called = tests.select("ix", "call", F.explode(F.array_distinct(F.regexp_extract_all("call", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), F.lit(1)))).alias("name"))
+    hits = users.join(called, ["ix", "name"]).groupBy("ix", "path", "name").agg(F.count_distinct("call").alias("calls"))
+    return users.join(hits, ["ix", "path", "name"], "left").select("ix", "path", "name", F.coalesce("calls", F.lit(0)).alias("calls")).where("calls < 2")

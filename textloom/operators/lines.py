@@ -150,3 +150,29 @@ def slop_scores(findings: DataFrame, nonblank: DataFrame, weights: DataFrame, ke
     points = findings.join(F.broadcast(weights), "rule").groupBy(key).agg(F.sum("weight").alias("points"), F.count("*").alias("n"))
     score = F.when(F.col("nonblank") == 0, 0.0).otherwise(F.least(F.lit(100.0), 100 * F.coalesce("points", F.lit(0.0)) / F.col("nonblank")))
     return nonblank.join(points, key, "left").select(key, "nonblank", F.coalesce("n", F.lit(0)).cast("long").alias("findings"), F.round(score, 6).alias("score"))
+
+
+def single_use_bindings(lines: DataFrame) -> DataFrame:
+    """Clojure bindings of one name whose body uses it once: path, line_no, name."""
+    pattern = r"\(let\s+\[\s*([A-Za-z_][A-Za-z0-9_]*)\s+([^\]\n]+)\]\s+([^)]+)\)"
+    name, body = F.regexp_extract("line", pattern, 1), F.regexp_extract("line", pattern, 3)
+    uses = F.size(F.filter(F.regexp_extract_all(body, F.lit(r"([A-Za-z0-9_!?*<>=/+-]+)"), F.lit(1)), lambda t: t == name))
+    return lines.where((F.col("lang") == "clojure") & (name != "") & (uses == 1)).select("path", "line_no", name.alias("name"))
+
+
+def redundant_closures(lines: DataFrame) -> DataFrame:
+    """Rust closures that only pass their argument on: path, line_no, callee."""
+    pattern = r"\|\s*([a-z_][a-z0-9_]*)\s*\|\s*([A-Za-z_][A-Za-z0-9_:]*)\(\s*([a-z_][a-z0-9_]*)\s*\)"
+    one, callee, two = (F.regexp_extract("line", pattern, k) for k in (1, 2, 3))
+    return lines.where((F.col("lang") == "rust") & (one != "") & (one == two)).select("path", "line_no", callee.alias("callee"))
+
+
+def needless_returns(files: DataFrame) -> DataFrame:
+    """Rust functions that end in a return statement, one line each: path, returned."""
+    found = F.regexp_extract_all("text", F.lit(r"return\s+([^;{}]+);\s*\}\s*(?:\n|$)"), F.lit(1))
+    return files.where("lang = 'rust'").select("path", F.explode(found).alias("returned"))
+
+
+def long_regions(nlocs: DataFrame, most: int = 40) -> DataFrame:
+    """Regions of ``most`` lines of code or more."""
+    return nlocs.where(F.col("nloc") >= most)

@@ -151,3 +151,38 @@ def _(spark, d):
     """Tokens in the closure of each function that name no function themselves."""
     e = spark.createDataFrame(_CALLG, "a string, b string")
     return G.closure(e).join(e.select(F.col("a").alias("b")).distinct(), "b", "left_anti").groupBy(F.col("a").alias("function")).agg(F.array_join(F.array_sort(F.collect_set("b")), ",").alias("terminals"))
+
+
+_SURF = [
+    (0, "g.py", "owner", ["old.rate", "base"], "s1"), (0, "g.py", "check_rate", ["helper"], "s2"), (0, "g.py", "helper", ["old.rate"], "s3"), (0, "g.py", "report", ["metrics.inc", "old.rate"], "s4"), (0, "g.py", "publish", ["status.set", "other"], "s5"), (0, "g.py", "run_all", ["base"], "s6"),
+    (1, "g.py", "owner", ["new.rate", "base"], "s1b"), (1, "g.py", "check_rate", ["helper"], "s2"), (1, "g.py", "helper", ["old.rate"], "s3"), (1, "g.py", "report", ["metrics.inc", "old.rate"], "s4"), (1, "g.py", "publish", ["status.set", "other"], "s5"), (1, "g.py", "run_all", ["base"], "s6"),
+]
+_SURF = [(a, b, n, sorted(r), f) for a, b, n, r, f in _SURF]
+_S = f"""c AS {literal_sql(_SURF, 'ix, path, name, refs, fp')}, rf AS (SELECT DISTINCT ix, name, unnest(refs) AS token FROM c), cl AS (SELECT rf.ix, rf.name, c.name AS via FROM rf JOIN c ON c.ix = rf.ix AND c.name = string_split(rf.token, '.')[-1]), rr AS (SELECT * FROM rf UNION SELECT rr.ix, cl.name, rr.token FROM rr JOIN cl ON cl.ix = rr.ix AND cl.via = rr.name),
+sk AS (SELECT ix, path, name, CASE WHEN regexp_matches(name, '^(check|verify|validate)') THEN 'gate' WHEN list_contains(list_transform(refs, lambda r: string_split(r, '.')[-2]), 'metrics') THEN 'telemetry' WHEN list_contains(list_transform(refs, lambda r: string_split(r, '.')[-2]), 'status') THEN 'identity' END AS kind FROM c)"""
+
+
+def _surfaces(spark):
+    return spark.createDataFrame(_SURF, "ix int, path string, name string, refs array<string>, fp string").withColumns({"literals": F.array().cast("array<string>"), "config_keys": F.array().cast("array<string>"), "loops": F.lit(0)})
+
+
+@query("reference_closure", f"WITH RECURSIVE {_S} SELECT * FROM rr")
+def _(spark, d):
+    return C.reach_of(_surfaces(spark))
+
+
+@query("retired_surfaces", f"WITH RECURSIVE {_S} SELECT 0 AS ix, 'owner' AS owner, sk.kind, sk.name FROM sk JOIN c b ON b.ix = 0 AND b.name = sk.name AND b.path = sk.path JOIN c a ON a.ix = 1 AND a.name = sk.name AND a.path = sk.path AND a.fp = b.fp WHERE sk.ix = 1 AND kind IS NOT NULL AND EXISTS (SELECT 1 FROM rr WHERE rr.ix = 1 AND rr.name = sk.name AND token = 'old.rate') AND NOT EXISTS (SELECT 1 FROM rr WHERE rr.ix = 1 AND rr.name = sk.name AND token = 'new.rate')")
+def _(spark, d):
+    """Gates, telemetry and identity surfaces that still read what an owner gave up."""
+    return C.retired_surfaces(_surfaces(spark))
+
+
+@query("contract_splits", f"WITH RECURSIVE {_S}, en AS (SELECT ix, name, token FROM rr WHERE string_split(token, '.')[-1] NOT IN (SELECT name FROM c)) SELECT b.ix, b.path, b.name AS behaviour, s.name AS surface, s.kind FROM c b JOIN sk s ON s.ix = b.ix AND s.path = b.path WHERE regexp_matches(b.name, '^(decide|step|train|run|resume|execute|apply|process)') AND s.kind IS NOT NULL AND NOT EXISTS (SELECT 1 FROM en x JOIN en y ON x.ix = y.ix AND x.token = y.token WHERE x.ix = b.ix AND x.name = b.name AND y.name = s.name)")
+def _(spark, d):
+    return C.contract_splits(_surfaces(spark))
+
+
+@query("untested_dimensions")
+def _(spark, d):
+    rows = [(0, "m.py", "merge", ["np.concat"], {}), (0, "m.py", "join_all", ["np.stack"], {}), (0, "tests/test_m.py", "test_a", ["merge"], {"merge(a)": 1, "merge(b)": 1, "join_all(a)": 2})]
+    return C.untested_dimensions(spark.createDataFrame(rows, "ix int, path string, name string, refs array<string>, calls map<string,bigint>"))

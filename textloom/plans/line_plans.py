@@ -126,3 +126,37 @@ def _(spark, d):
     raw = spark.createDataFrame([("a.py", 1, "x = 5  # lint-ignore magic-number -- known"), ("a.py", 2, "y = 6"), ("a.py", 3, "z = 7"), ("b.py", 1, "# lint-ignore *"), ("b.py", 2, "w = 8")], "path string, line_no long, line string")
     found = spark.createDataFrame([("a.py", 1, "magic-number"), ("a.py", 2, "magic-number"), ("a.py", 2, "other"), ("a.py", 3, "magic-number"), ("b.py", 2, "other"), ("c.py", 1, "other")], "path string, line_no long, rule string")
     return L.unsuppressed(found, L.suppressions(raw)).select("path", "line_no", "rule")
+
+
+_RUST = [("a.rs", 1, "let v = xs.iter().map(|x| parse(x));"), ("a.rs", 2, "let w = xs.iter().map(|x| parse(x, 1));"), ("a.rs", 3, "ys.filter(|y| is_ok(z))"), ("a.rs", 4, "ys.for_each(|y| self::show(y));")]
+
+
+@query("single_use_binding", f"WITH {CODE}, b AS (SELECT path, line_no, regexp_extract(line, '\\(let\\s+\\[\\s*([A-Za-z_][A-Za-z0-9_]*)\\s+([^\\]\\n]+)\\]\\s+([^)]+)\\)', 1) AS name, regexp_extract(line, '\\(let\\s+\\[\\s*([A-Za-z_][A-Za-z0-9_]*)\\s+([^\\]\\n]+)\\]\\s+([^)]+)\\)', 3) AS body FROM l WHERE lang = 'clojure') SELECT path, line_no, name FROM b WHERE name <> '' AND len(list_filter(regexp_extract_all(body, '[A-Za-z0-9_!?*<>=/+-]+'), lambda t: t = name)) = 1")
+def _(spark, d):
+    return L.single_use_bindings(code_lines(spark))
+
+
+@query("redundant_closure", f"WITH r AS {literal_sql(_RUST, 'path, line_no, line')}, p AS (SELECT *, '\\|\\s*([a-z_][a-z0-9_]*)\\s*\\|\\s*([A-Za-z_][A-Za-z0-9_:]*)\\(\\s*([a-z_][a-z0-9_]*)\\s*\\)' AS x FROM r) SELECT path, line_no, regexp_extract(line, '\\|\\s*([a-z_][a-z0-9_]*)\\s*\\|\\s*([A-Za-z_][A-Za-z0-9_:]*)\\(\\s*([a-z_][a-z0-9_]*)\\s*\\)', 2) AS callee FROM p WHERE regexp_extract(line, '\\|\\s*([a-z_][a-z0-9_]*)\\s*\\|\\s*([A-Za-z_][A-Za-z0-9_:]*)\\(\\s*([a-z_][a-z0-9_]*)\\s*\\)', 1) = regexp_extract(line, '\\|\\s*([a-z_][a-z0-9_]*)\\s*\\|\\s*([A-Za-z_][A-Za-z0-9_:]*)\\(\\s*([a-z_][a-z0-9_]*)\\s*\\)', 3) AND regexp_matches(line, x)")
+def _(spark, d):
+    rows = spark.createDataFrame(_RUST, "path string, line_no long, line string").withColumn("lang", F.lit("rust"))
+    return L.redundant_closures(rows)
+
+
+_RET = [("a.rs", "rust", "fn a() -> u8 {\n    return 1;\n}\n"), ("b.rs", "rust", "fn b() -> u8 {\n    if x { return 2; }\n    3\n}\n"), ("c.rs", "rust", "fn c() {\n  let y = 1;\n  return y + 1; }")]
+
+
+@query("needless_return", f"SELECT path, unnest(regexp_extract_all(text, 'return\\s+([^;{{}}]+);\\s*\\}}\\s*(?:\\n|$)', 1)) AS returned FROM {literal_sql(_RET, 'path, lang, text')} AS f")
+def _(spark, d):
+    return L.needless_returns(spark.createDataFrame(_RET, "path string, lang string, text string"))
+
+
+@query("long_method", f"WITH {DOC_LINES} SELECT doc_id, count(*) FILTER (trim(line) <> '') AS nloc FROM l GROUP BY doc_id HAVING count(*) FILTER (trim(line) <> '') >= 40")
+def _(spark, d):
+    """Documents as regions: those of forty lines or more."""
+    lines = L.plain_lines(table(spark, d, "documents"), "doc_id")
+    return L.long_regions(lines.groupBy("doc_id").agg(F.count_if(F.trim("line") != "").alias("nloc")))
+
+
+@query("uri_decoding", "SELECT page_id, url_decode(replace(url, '+', '%2B')) AS decoded FROM pages")
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", F.url_decode(F.replace("url", F.lit("+"), F.lit("%2B"))).alias("decoded"))
