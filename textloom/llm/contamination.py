@@ -245,3 +245,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     text = F.when(F.size("spans") > 0, F.array_join(pieces, "")).otherwise(F.col("row")["text"])
     kept = scanned.where(hit <= F.col("n_words") * most_covered)
     return kept.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+#: The same as the digest of a scan of documents, in DuckDB's SQL.
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+it AS (SELECT item_id, ws, least(10, len(ws)) AS n FROM b WHERE len(ws) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], chr(31)) AS g FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i FROM it)),
+sizes AS (SELECT DISTINCT n FROM it),
+dw AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], chr(31)) AS g FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d JOIN sizes ON len(ws) >= n)),
+hit AS (SELECT doc_id, i, n, item_id FROM dw JOIN iw USING (n, g)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS nh FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY doc_id),
+nm AS (SELECT doc_id, count(DISTINCT item_id) AS ni, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS s FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(nh, 0) AS n_hit, coalesce(ni, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(nh, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN nm USING (doc_id)
+"""

@@ -25,8 +25,6 @@ WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 #: Slopes of the schedules of sources in the same order, repeating: early, steady, late.
 SLOPES = (-0.8, 0.0, 0.8)
-#: Up to so many sources, the table of their buckets may be broadcast (a few MB); beyond, it is shuffled.
-BUCKETS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 

@@ -287,6 +287,7 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The documents that stay: one of each component, the one with the smallest id; of rows that repeat it, all."""
+    """The documents that stay: one of each component, the one with the smallest id; of rows that repeat it, all. Rows
+    without an id stay, as nothing tells which of them a component's one would be."""
     gone = grouped(docs).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*[named(c) for c in docs.columns])

@@ -74,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_neardup": op10_neardup,
     "op9_repetition": op9_repetition,
 }
-ORACLE_SQL: dict[str, str] = {"op1_lines": lines.ORACLE, "op5_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_lines": lines.ORACLE, "op3_contamination": contamination.ORACLE, "op9_repetition": repetition.oracle(), "op5_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE}

@@ -98,3 +98,38 @@ def kernel(data: np.ndarray, offsets: np.ndarray) -> list:
 def measure(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """``row`` (the columns of ``carry``) with counts of words, symbols, repeats and the two verdicts."""
     return map_texts(docs, kernel, FIELDS, carry)
+
+
+def oracle() -> str:
+    """The query of documents with unique ids in DuckDB's SQL."""
+    parts, joins, kept = [], [], []
+    for n, most in MOST_IN_GRAMS.items():
+        parts.append(
+            f"g{n} AS (SELECT doc_id, CAST(sum(len(ws[p])) AS BIGINT) AS c FROM (SELECT DISTINCT doc_id, unnest(range(i, i + {n})) AS p FROM ("
+            f"SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, g ORDER BY i) AS k FROM ("
+            f"SELECT doc_id, i, hash(array_to_string(ws[i:i + {n - 1}], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM w WHERE len(ws) >= {n}))) WHERE k > 1) JOIN w USING (doc_id) GROUP BY doc_id)"
+        )
+        joins.append(f"LEFT JOIN g{n} ON g{n}.doc_id = w.doc_id")
+        kept.append(f"coalesce(g{n}.c, 0) <= {most} * chars")
+    word = "[^\\x20\\x09-\\x0D]+"
+    return f"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '{word}'), []) AS ws FROM documents),
+r AS (
+  SELECT doc_id, count(DISTINCT p) AS c FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS g FROM (
+      SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3))) WHERE k > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM w),
+k AS (SELECT doc_id, len(array_to_string(regexp_extract_all(line, '{word}'), '')) AS chars, row_number() OVER (PARTITION BY doc_id, line ORDER BY place) AS k FROM l WHERE regexp_matches(line, '{word}')),
+n AS (SELECT doc_id, count(*) AS lines, count(*) FILTER (k > 1) AS dup, CAST(coalesce(sum(chars) FILTER (k > 1), 0) AS BIGINT) AS dup_chars FROM k GROUP BY doc_id),
+{", ".join(parts)},
+c AS (SELECT doc_id, CAST(len(array_to_string(ws, '')) AS BIGINT) AS chars FROM w),
+m AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, chars AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         coalesce(dup, 0) AS n_dup_lines, coalesce(r.c, 0) AS n_repeat_words, coalesce(lines, 0) AS n_lines, coalesce(dup_chars, 0) AS dup_line_chars,
+         {", ".join(f"coalesce(g{n}.c, 0) AS dup_chars_{n}" for n in MOST_IN_GRAMS)},
+         len(ws) < {LEAST_WORDS} OR 100 * coalesce(r.c, 0) > {MOST_REPEATED_WORDS} * len(ws) AS base_failed,
+         {" AND ".join(kept)} AND coalesce(dup_chars, 0) <= {MOST_LINE_CHARS} * chars AS fine
+  FROM w JOIN c ON c.doc_id = w.doc_id LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id {" ".join(joins)})
+SELECT * EXCLUDE (fine), fine AND NOT base_failed AS kept FROM m
+"""
