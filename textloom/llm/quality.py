@@ -123,7 +123,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Votes
         return None
     table = table.sort_by("doc_id")
     rows = np.frombuffer(b"".join(table["features"].to_pylist()), np.float16).reshape(len(table), SIZE).astype(np.float32)
-    return Votes(rows, table["quality"].to_numpy())
+    marks = table["quality"].to_numpy().copy()
+    del table
+    votes = Votes(rows, marks)
+    pa.default_memory_pool().release_unused()  # the driver keeps the votes alone
+    return votes
 
 
 def _kernel(broadcast):
