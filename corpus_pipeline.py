@@ -13,6 +13,10 @@ from textloom.llm import contamination, lines, mixing, neardup, quality
 from textloom.llm.storage import saved
 
 
+#: Near copies share this part of their shingles; op10's own contract has another threshold.
+NEAR = (80, 100)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,7 +33,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return neardup.dedup(docs)
+    return neardup.dedup(docs, NEAR)
 
 
 def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

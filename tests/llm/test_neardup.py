@@ -90,3 +90,45 @@ def test_stage_and_empty(spark):
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.collect()} == {i for i, _, least, kept in brute(fixtures.documents()) if kept}
     assert neardup.grouped(docs.limit(0)).count() == 0
+
+
+def linked_at(rows, percent):
+    """The smallest id of each id's component, by brute force at another threshold."""
+    sets, up = sets_of(rows), {i: i for i, *_ in rows}
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[:x]:
+            if 100 * len(a & b) >= percent * len(a | b):
+                low, high = sorted((root(i), root(j)))
+                up[high] = low
+    return {i: root(i) for i, _ in sets}
+
+
+def test_another_threshold(spark):
+    """A hundred words with two of them changed: 86 of 106 shingles."""
+    rows = []
+    for g in range(40):
+        words = fixtures.prose(5000 + g, 100).split()
+        rows.append((2 * g, " ".join(words), "en", "s", 1))
+        words[20], words[60] = "changed", "too"
+        if g % 4 == 3:
+            words[90:95] = ["one", "more"]  # below 0.8
+        rows.append((2 * g + 1, " ".join(words), "en", "s", 1))
+    docs = spark.createDataFrame(rows, fixtures.DOCS)
+    at_80, at_85 = linked_at(rows, 80), linked_at(rows, 85)
+    assert len(set(at_80.values())) == 50 and len(set(at_85.values())) == 80
+    assert {r.doc_id: r.component_id for r in neardup.grouped(docs, (80, 100)).collect()} == at_80
+    assert {r.doc_id: r.component_id for r in neardup.grouped(docs, (85, 100)).collect()} == at_85
+    import corpus_pipeline
+
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()} == set(at_80.values())
+
+
+def test_bands_find_pairs_at_the_threshold():
+    assert neardup.bands_and_rows((85, 100)) == (20, 5) and neardup.bands_and_rows((80, 100)) == (25, 4)
+    for t in ((70, 100), (80, 100), (85, 100), (95, 100)):
+        bands, rows = neardup.bands_and_rows(t)
+        assert bands * rows == neardup.REGISTERS and (1 - (t[0] / t[1]) ** rows) ** bands <= neardup.MISSED

@@ -7,9 +7,9 @@ and documents that share all registers of a band are candidates. The likelihood
 greater, less and equal, given both set sizes, estimates the similarity of a candidate; only those whose best estimate
 is clearly below the threshold go, and every other pair is confirmed on the full sets.
 
-With 20 bands of 5 registers a pair of similarity 0.85 shares no band with a probability of 8e-6 at most, and the
-estimate of such a pair falls below the cut, over four standard errors away, about as rarely; both fall fast for pairs
-more alike.
+Bands follow from the threshold: 20 of 5 registers at 0.85, where a pair of that similarity shares no band with a
+probability of 8e-6 at most, and 25 of 4 at 0.8 with 2e-6. The estimate of a pair at the threshold falls below the cut,
+``ERRORS`` standard errors away, with about 2e-5 and 9e-6; all fall fast for pairs more alike.
 
 Skew. Documents of equal sets are one class, joined to its smallest id, so copies are never paired. In each bucket of a
 band all members are first paired with the smallest one: n - 1 pairs for n members. Confirmed pairs give components;
@@ -37,21 +37,38 @@ from textloom.llm.storage import dropped, saved
 from textloom.llm.texts import map_texts, named
 
 WORDS = 5
-#: Linked when THRESHOLD[1] * intersection >= THRESHOLD[0] * union.
+#: Linked when threshold[1] * intersection >= threshold[0] * union; this one unless another is asked for.
 THRESHOLD = (85, 100)
-BANDS, ROWS = 20, 5
-REGISTERS = BANDS * ROWS
+REGISTERS = 100
+#: Pairs at the threshold may share no band with this probability at most.
+MISSED = 1e-5
 BASE = 1.1
 #: What is added to exponents so that one byte holds those of sets of 1 to 10 ** 8 shingles.
 SHIFT = 40
-#: Pairs whose likeliest similarity is this much below the threshold are not confirmed: over four standard errors.
-MARGIN = 0.16
+#: Pairs whose likeliest similarity is so many standard errors below the threshold are not confirmed.
+ERRORS = 4.75
 BLOCK = 256
 #: Up to so many candidates' ids (8 bytes each) are broadcast to pick out their texts; beyond, texts are shuffled.
 MOST_BROADCAST = 1_000_000
 _GRID = np.linspace(0.0, 1.0, 101)
 
 
+def bands_and_rows(threshold: tuple[int, int]) -> tuple[int, int]:
+    """Bands and registers in each: the longest bands that find pairs at the threshold as surely as ``MISSED`` says."""
+    t = threshold[0] / threshold[1]
+    rows = next((r for r in (10, 5, 4, 2) if (1 - t**r) ** (REGISTERS // r) <= MISSED), 1)
+    return REGISTERS // rows, rows
+
+
+def least_likely(threshold: tuple[int, int]) -> float:
+    t = threshold[0] / threshold[1]
+    return t - ERRORS * (t * (1 - t) / REGISTERS) ** 0.5
+
+
+def linked(both: int, n_a: int, n_b: int, threshold: tuple[int, int]) -> bool:
+    return threshold[1] * both >= threshold[0] * (n_a + n_b - both)
+
+
 def _multipliers() -> np.ndarray:
     return np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -102,16 +119,17 @@ def _sketch(data: np.ndarray, offsets: np.ndarray) -> list:
     return [n, pa.array(sets, pa.binary()), pa.array(sketch, pa.binary())]
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _banded(batches: Iterator[pa.RecordBatch], threshold: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """id, band, bucket: a bucket is the hash of a band's number and registers."""
+    bands, rows = bands_and_rows(threshold)
     for batch in batches:
         regs = _matrix(batch.column("regs"))
-        keys = np.zeros((len(regs), BANDS), np.uint64)
-        for j in range(ROWS):
-            keys = keys * np.uint64(0xD6E8FEB86659FD93) + regs[:, j * BANDS : (j + 1) * BANDS]
-        keys = kernels.mixed(kernels.mixed(keys) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-        ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(regs)), BANDS)))
-        yield pa.record_batch([ids, pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(regs))), pa.array(keys.ravel())], ["id", "band", "bucket"])
+        keys = np.zeros((len(regs), bands), np.uint64)
+        for j in range(rows):
+            keys = keys * np.uint64(0xD6E8FEB86659FD93) + regs[:, j * bands : (j + 1) * bands]
+        keys = kernels.mixed(kernels.mixed(keys) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(regs)), bands)))
+        yield pa.record_batch([ids, pa.array(np.tile(np.arange(bands, dtype=np.int32), len(regs))), pa.array(keys.ravel())], ["id", "band", "bucket"])
 
 
 def estimated(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -137,15 +155,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return data.reshape(len(offsets) - 1, REGISTERS)
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    least = THRESHOLD[0] / THRESHOLD[1] - MARGIN
+def _likely(batches: Iterator[pa.RecordBatch], threshold: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    least = least_likely(threshold)
     for batch in batches:
         n_a, n_b = (batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
         keep = estimated(_matrix(batch.column("regs_a")), _matrix(batch.column("regs_b")), n_a, n_b) >= least
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], threshold: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for low in range(0, len(batch), 64):
@@ -154,44 +172,44 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(len(part)):
                 a, b = x[x_first[k] : x_first[k + 1]], y[y_first[k] : y_first[k + 1]]
                 both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(THRESHOLD[1] * both >= THRESHOLD[0] * (len(a) + len(b) - both))
+                keep.append(linked(both, len(a), len(b), threshold))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _bands_shared(regs: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """The first band in which each row of ``regs`` agrees with ``other`` in full; BANDS if none."""
-    same = (regs == other).reshape(-1, ROWS, BANDS).all(1)
-    return np.where(same.any(1), same.argmax(1), BANDS)
+def _bands_shared(regs: np.ndarray, other: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The first band in which each row of ``regs`` agrees with ``other`` in full; ``bands`` if none."""
+    same = (regs == other).reshape(-1, rows, bands).all(1)
+    return np.where(same.any(1), same.argmax(1), bands)
 
 
-def _likely_in_block(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+def _likely_in_block(table: pa.Table, threshold: tuple[int, int]) -> Iterator[tuple[int, np.ndarray]]:
     """Each row of the left block with the rows of the right one that are likely linked to it, of another component. A
     pair is looked at in the first band that it shares and nowhere else."""
-    least = THRESHOLD[0] / THRESHOLD[1] - MARGIN
+    least = least_likely(threshold)
     ids, comp, n, side, band = (table[c].to_numpy() for c in ("id", "component", "n", "side", "band"))
     regs = _matrix(table["regs"])
     left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)  # 1: a block against itself
     for i in left.tolist():
         other = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (side[right] != 1))]
-        other = other[np.minimum(n[other], n[i]) * THRESHOLD[1] >= np.maximum(n[other], n[i]) * THRESHOLD[0]]
-        other = other[_bands_shared(regs[other], regs[i]) == band[i]]
+        other = other[np.minimum(n[other], n[i]) * threshold[1] >= np.maximum(n[other], n[i]) * threshold[0]]
+        other = other[_bands_shared(regs[other], regs[i], *bands_and_rows(threshold)) == band[i]]
         if len(other):
             likely = estimated(np.repeat(regs[i][None], len(other), 0), regs[other], np.full(len(other), float(n[i])), n[other].astype(float)) >= least
             if likely.any():
                 yield i, other[likely]
 
 
-def _partnered(table: pa.Table) -> pa.Table:
+def _partnered(table: pa.Table, threshold: tuple[int, int]) -> pa.Table:
     """The rows of a block pair that have a likely partner."""
     table = table.combine_chunks()
     keep = np.zeros(len(table), bool)
-    for i, other in _likely_in_block(table):
+    for i, other in _likely_in_block(table, threshold):
         keep[i] = True
         keep[other] = True
     return table.filter(pa.array(keep))
 
 
-def _across(table: pa.Table) -> pa.Table:
+def _across(table: pa.Table, threshold: tuple[int, int]) -> pa.Table:
     """Linked pairs of a block pair's likely ones, confirmed on their full sets."""
     ids = table["id"].to_numpy()
     data, offsets = kernels.buffers(table["text"])
@@ -201,10 +219,10 @@ def _across(table: pa.Table) -> pa.Table:
         found, first = shingles(data[at[0] : at[-1]], at - at[0])
         sets |= {low + k: found[first[k] : first[k + 1]] for k in range(high - low)}
     out = []
-    for i, other in _likely_in_block(table):
+    for i, other in _likely_in_block(table, threshold):
         for j in other.tolist():
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if THRESHOLD[1] * both >= THRESHOLD[0] * (len(sets[i]) + len(sets[j]) - both):
+            if linked(both, len(sets[i]), len(sets[j]), threshold):
                 out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
     return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
@@ -227,16 +245,16 @@ def components(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def _star_links(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+def _star_links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Those pairs (a, b) that are linked: likely by their registers, then confirmed on their texts."""
     regs = sets.select("id", "n", "regs")
     pairs = pairs.join(regs.toDF("a", "n_a", "regs_a"), "a").join(regs.toDF("b", "n_b", "regs_b"), "b")
-    pairs = saved(pairs.mapInArrow(_likely, "a long, b long"), "pairs")
+    pairs = saved(pairs.mapInArrow(lambda batches: _likely(batches, threshold), "a long, b long"), "pairs")
     joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long").distinct()
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: _confirm(batches, threshold), "a long, b long").distinct()
 
 
-def _cross_links(members: DataFrame, labels: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+def _cross_links(members: DataFrame, labels: DataFrame, sets: DataFrame, texts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Links between members of different components of a bucket. Its largest component is blocked apart from the rest,
     as no two of its members need comparing: a row of it goes to as many block pairs as the rest has blocks."""
     labelled = members.join(labels, "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component"))
@@ -256,18 +274,18 @@ def _cross_links(members: DataFrame, labels: DataFrame, sets: DataFrame, texts:
     cells = rows.select("bucket", "band", "id", "component", F.explode(F.when(F.col("component") == F.col("big"), of_big).otherwise(of_rest)).alias("x")).select("bucket", "band", "id", "component", "x.*")
     columns = "bucket long, band int, id long, component long, i int, j int, side int, n long, regs binary"
     cells = cells.join(sets.select("id", "n", "regs"), "id").select(*[c.split()[0] for c in columns.split(", ")])
-    likely = saved(cells.groupBy("bucket", "i", "j").applyInArrow(_partnered, columns), "likely")
-    return likely.join(texts, "id").groupBy("bucket", "i", "j").applyInArrow(_across, "a long, b long").distinct()
+    likely = saved(cells.groupBy("bucket", "i", "j").applyInArrow(lambda table: _partnered(table, threshold), columns), "likely")
+    return likely.join(texts, "id").groupBy("bucket", "i", "j").applyInArrow(lambda table: _across(table, threshold), "a long, b long").distinct()
 
 
-def grouped(docs: DataFrame) -> DataFrame:
+def grouped(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = map_texts(rows, _sketch, "n long, set binary, regs binary", ["doc_id"])
     sketched = saved(sketched.select("row.doc_id", "n", "set", "regs"), "sketches")
     # one row for each distinct set, named by its smallest id
     sets = saved(sketched.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs")), "sets")
-    banded = sets.where("id IS NOT NULL").select("id", "regs").mapInArrow(_banded, "id long, band int, bucket long")
+    banded = sets.where("id IS NOT NULL").select("id", "regs").mapInArrow(lambda batches: _banded(batches, threshold), "id long, band int, bucket long")
     first = banded.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1").select("bucket", "a")
     members = saved(banded.join(first, "bucket"), "members")
     ids = members.select("id").distinct()
@@ -275,9 +293,9 @@ def grouped(docs: DataFrame) -> DataFrame:
         ids = F.broadcast(ids)
     texts = saved(rows.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
     star = members.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = saved(_star_links(star, sets, texts), "links")
+    links = saved(_star_links(star, sets, texts, threshold), "links")
     labels = components(links)
-    more = saved(_cross_links(members, labels, sets, texts), "links")
+    more = saved(_cross_links(members, labels, sets, texts, threshold), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
     by_set = sets.join(labels, "id", "left").select("set", F.coalesce("component", "id").alias("component"))
@@ -286,8 +304,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """The documents that stay: one of each component, the one with the smallest id; of rows that repeat it, all. Rows
     without an id stay, as nothing tells which of them a component's one would be."""
-    gone = grouped(docs).where("NOT kept").select("doc_id").distinct()
+    gone = grouped(docs, threshold).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*[named(c) for c in docs.columns])

@@ -59,7 +59,7 @@ def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.grouped(_table(spark, sf_dir, "documents"))
+    return neardup.grouped(_table(spark, sf_dir, "documents"), neardup.THRESHOLD)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
