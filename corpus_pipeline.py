@@ -1,7 +1,8 @@
 """The corpus pipeline: five operators in a row, each over all that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet to the shared folder and read
-again as the next one's documents. The last one returns the training order.
+again as the next one's documents. The last one returns the mix, a row for each document; ``run`` unfolds it to the
+training order, a row for each pass over a document.
 """
 
 from __future__ import annotations
@@ -41,14 +42,24 @@ def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return contamination.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
 
 
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, in training order, with the words taken and their source's target."""
-    mixed = mixing.mix(docs, carry=True).where(F.col("taken") > 0)
+def _mixed(docs: DataFrame, passes: bool) -> DataFrame:
+    mixed = mixing.mix(docs, carry=True, passes=passes).where(F.col("taken") > 0)
     own = [F.col("row").getField(c).alias(c) for c in docs.columns]
-    added = [c for c in ("size", "source_size", "target", "taken", "position") if c not in docs.columns]
+    added = [c for c in ("size", "source_size", "target", "taken", "position", "pass" if passes else "positions") if c not in docs.columns]
     return mixed.select(*own, *added)
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, by their first position, with the words taken, their source's target and their
+    positions in every pass."""
+    return _mixed(docs, passes=False)
+
+
+def training_order(docs: DataFrame) -> DataFrame:
+    """``mixing_stage`` with a row for each pass over a document, at its own position and with the words it gives."""
+    return _mixed(docs, passes=True)
+
+
 STAGES = [
     ("quality classifier", quality_stage),
     ("line dedup", line_stage),
@@ -63,8 +74,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = saved(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = saved(stage(spark, docs, sf_dir), f"stage{k}")
+    return training_order(docs)

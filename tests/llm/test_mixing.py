@@ -70,3 +70,29 @@ def test_empty_and_clashing_names(spark):
     row = mixing.mix(docs, carry=True).first()
     assert row.size == 2 and row.row.size == 7 and row.row.target == "y"
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_every_pass_has_its_position(spark):
+    """Weight-5 sources are read more than once; the later passes lie in the later part of the curriculum."""
+    rows = [(k, "w " * (5 + k % 7), "en", f"s{k % 20:02}", 1) for k in range(400)]
+    docs = spark.createDataFrame(rows, fixtures.DOCS)
+    whole = {r.row.doc_id: r for r in mixing.mix(docs, carry=True).collect()}
+    out = mixing.mix(docs, carry=True, passes=True).collect()
+    assert [r.position for r in out] == sorted(r.position for r in out)
+    by = {}
+    for r in out:
+        by.setdefault(r.row.doc_id, []).append(r)
+    assert any(len(x) > 1 for x in by.values())
+    for i, r in whole.items():
+        mine = sorted(by.get(i, []), key=lambda x: x["pass"])
+        assert [x["pass"] for x in mine] == list(range(len(mine))) and sum(x.taken for x in mine) == r.taken
+        assert all(0 < x.taken <= r.size for x in mine) and [x.position for x in mine] == (r.positions or [])
+        assert r.position == (r.positions or [None])[0]
+    schedule = lambda s, t: (1 - s) * t + s * t * t
+    slope = {f"s{k:02}": mixing.SLOPES[k % 3] for k in range(20)}
+    for source in slope:  # each source's intervals fill its whole demand, one after the other
+        at = 0
+        for r in sorted((x for x in out if x.row.source == source), key=lambda x: x.position):
+            assert schedule(slope[source], r.position) * r.target == pytest.approx(at, abs=1e-6)
+            at += r.taken
+        assert at == pytest.approx(r.target, abs=1)

@@ -51,3 +51,13 @@ def test_run_is_the_stages(spark, folder):
     assert a == b and a
     positions = [r.position for r in pipeline.run(spark, folder).collect()]
     assert positions == sorted(positions)
+
+
+def test_run_unfolds_the_passes(spark, folder):
+    pipeline = importlib.import_module("corpus_pipeline")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    stage = {r.doc_id: r for r in pipeline.mixing_stage(spark, docs, folder).collect()}
+    rows = pipeline.training_order(docs).collect()
+    assert len(rows) > len(stage) and sum(r.taken for r in rows) == sum(r.taken for r in stage.values())
+    assert sorted((r.doc_id, r.position) for r in rows) == sorted((i, p) for i, r in stage.items() for p in r.positions)
+    assert "pass" in pipeline.run(spark, folder).columns

@@ -4,7 +4,8 @@ A source's target is its weight's share of all words, held to ``most_epochs`` ti
 cannot give is shared again by weight. Within a source, documents follow one another in the order of a hash of their
 id, pass after pass, so each takes up an interval of the source's cumulative demand. The source's weight changes over
 the training time t in [0, 1] as ``1 + slope * (2 t - 1)``; that schedule is integrated in closed form, and inverting
-the integral turns the start of a document's interval into its training position. Documents are range-sorted by it.
+the integral turns the start of a document's interval into its training position, in each pass that takes it: pass p
+starts ``p * source_size`` words further on. Documents are range-sorted by their positions.
 
 A hot source is never one group: its documents are dealt over 4096 hash buckets, sums of buckets are prefix-summed,
 and running sums within buckets are added.
@@ -45,9 +46,11 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most_epochs: int = MOST_
     return ranked.select("skey", "source_size", "slope", F.least(F.col("cap").cast("double"), free * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, most_epochs: int = MOST_EPOCHS, slopes: tuple = SLOPES, carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, most_epochs: int = MOST_EPOCHS, slopes: tuple = SLOPES, carry: bool = False, passes: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes, repeats counted), position (of the first pass;
-    null where nothing is taken), range-sorted by position. With ``carry``, each row also has ``row``: all columns."""
+    null where nothing is taken), range-sorted by position. With ``carry``, each row also has ``row``: all columns, and
+    ``positions``: those of every pass. With ``passes``, a row stands for one pass over a document that the mix takes:
+    it has ``pass`` in place of ``positions``, its own position, and the words that it gives in ``taken``."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     # a prefix keeps nulls apart from every name and the order of code points
@@ -62,10 +65,22 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most_epochs: int = MOST_EPOCH
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.round(F.col("target") - full * F.col("source_size")).cast("long")
     taken = full * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("start")))
-    u, s = F.col("start") / F.col("target"), F.col("slope")
-    inverse = F.when(s == 0, u).otherwise((s - 1 + F.sqrt((1 - s) * (1 - s) + 4 * s * u)) / (2 * s))
-    out = placed.withColumn("taken", taken).withColumn("position", F.when(F.col("taken") > 0, inverse))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "position", *(["row"] if carry else [])).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    s = F.col("slope")
+
+    def inverse(start: Column) -> Column:
+        u = start / F.col("target")
+        return F.when(s == 0, u).otherwise((s - 1 + F.sqrt((1 - s) * (1 - s) + 4 * s * u)) / (2 * s))
+
+    out = placed.withColumn("taken", taken).withColumn("position", F.when(F.col("taken") > 0, inverse(F.col("start"))))
+    more = ["row", "positions"] if carry else []
+    if carry or passes:
+        last = F.ceil(F.col("taken") / F.col("size")) - 1
+        out = out.withColumn("positions", F.when(F.col("taken") > 0, F.transform(F.sequence(F.lit(0).cast("long"), last), lambda p: inverse(F.col("start") + p * F.col("source_size")))))
+    if passes:
+        more = ["row", "pass"] if carry else ["pass"]
+        out = out.select("*", F.posexplode("positions").alias("pass", "at"))
+        out = out.withColumn("taken", F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))).withColumn("position", F.col("at"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "position", *more).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 #: The same in DuckDB's SQL.
