@@ -53,3 +53,15 @@ def test_scan(spark):
     found = [(r.row.doc_id, [(b.first_line, b.last_line, b.license) for b in r.blocks]) for r in out if r.blocks]
     assert found == [(900, [(1, 1, "MIT")])] * 2
     assert licenses.scan(spark.createDataFrame([], fixtures.DOCS)).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 30, 100, 2000])
+@pytest.mark.parametrize(("notice", "name"), [("Released under the MIT License.", "MIT"), ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("All rights reserved.", "All-Rights-Reserved"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0")])
+def test_notices_in_long_lines(n, notice, name):
+    assert names(f"{fixtures.prose(n, n)} {notice}") == [name]
+    assert names(f"{fixtures.prose(n, n)} {notice} {fixtures.prose(n + 1, n)}") == [name]
+
+
+def test_every_template_with_a_key_is_judged():
+    gpl = "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability"
+    assert "All-Rights-Reserved" in names(f"All rights reserved. {gpl}")

@@ -1,10 +1,11 @@
 """License scan by conditional compression.
 
-Candidate blocks are runs of lines with a cue word, at most two other lines apart. A block is compressed alone and with
-each license template as a raw zstandard dictionary, both as lower-case words; what a template saves ranks it. The best ``MOST_RANKED`` are
-confirmed, best first, on exact words: one of the template's key phrases stands in the block, and the words of the
-block that no common run with the template covers are at most ``MOST_OTHER`` of it, copyright lines left out. A block
-may hold several licenses: the words of a confirmed one are taken out and the rest is judged again.
+Candidate blocks are runs of lines with a cue word, at most two other lines apart. Every template that has a key phrase
+in the block is confirmed on exact words, around each place of the phrase: the words about it that runs in common with
+the template cover, but for ``MOST_OTHER`` of the span. The span is compressed alone and with the template as a
+raw zstandard dictionary, as lower-case words; the template must save ``LEAST_SAVED`` of it, so how long the line or block
+about it is does not matter. Copyright lines are left out. A block may hold several licenses:
+the words of a confirmed one are taken out and the rest is judged again.
 
 Cases: null, empty or cue-less texts have no blocks; texts of any length are read whole; rows are judged one by one, so
 repeated rows and null ids change nothing; an empty table gives an empty table; other columns stay inside a struct.
@@ -12,6 +13,7 @@ repeated rows and null ids change nothing; an empty table gives an empty table;
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from functools import lru_cache
@@ -27,7 +29,6 @@ CUES = (b"licen", b"copyright", b"warrant", b"permission", b"rights reserved", b
 GAP = 2
 LEVEL = 9
 LEAST_SAVED = 0.1
-MOST_RANKED = 6
 MOST_OTHER = 0.3
 FIELDS = "blocks array<struct<first_line: int, last_line: int, license: string, saved: double, other_words: int>>"
 _CUE = re.compile(b"|".join(CUES))
@@ -56,9 +57,31 @@ def savings(block: bytes) -> list[tuple[float, int]]:
     return sorted(found, key=lambda x: (-round(x[0], 6), x[1]))
 
 
-def _holds(words: list[str], phrase: tuple[str, ...]) -> int:
+def _places(words: list[str], phrase: tuple[str, ...]) -> list[int]:
     n = len(phrase)
-    return next((k for k in range(len(words) - n + 1) if tuple(words[k : k + n]) == phrase), -1)
+    return [k for k in range(len(words) - n + 1) if words[k] == phrase[0] and tuple(words[k : k + n]) == phrase]
+
+
+def _span(words: list[str], own: list[str], key: range) -> set[int]:
+    """The most words about a key phrase that runs in common with the template cover, of which few others lie between."""
+    first, last = max(0, key.start - 2 * len(own)), key.stop + 2 * len(own)
+    runs = [(first + m.a, first + m.a + m.size) for m in difflib.SequenceMatcher(None, words[first:last], own, autojunk=False).get_matching_blocks() if m.size >= 2]
+    lows = [key.start, *(a for a, _ in reversed(runs) if a < key.start)]
+    highs = [key.stop, *(b for _, b in runs if b > key.stop)]
+    covered = sorted({i for a, b in runs for i in range(a, b)} | set(key))
+    best = (0, 0, range(0))
+    for low in lows:
+        for high in highs:
+            inside = bisect.bisect_left(covered, high) - bisect.bisect_left(covered, low)
+            if high - low - inside <= MOST_OTHER * (high - low):
+                best = max(best, (inside, low - high, range(low, high)), key=lambda x: x[:2])
+    return {i for i in covered if i in best[2]}
+
+
+def saving(k: int, words: list[str]) -> float:
+    """Part of the compressed size of words that template k saves."""
+    block = " ".join(words).encode()
+    return 1 - len(_tools()[k][1].compress(block)) / len(zstandard.ZstdCompressor(level=LEVEL, **_FRAME).compress(block))
 
 
 @lru_cache(4096)
@@ -68,22 +91,23 @@ def judged(block: str) -> tuple[tuple[str, float, int], ...]:
     named: set[str] = set()
     while rest:
         best = None
-        for saved, k in savings(" ".join(rest).encode())[: MOST_RANKED + len(named)]:
-            template, _, own = _tools()[k]
-            if saved < LEAST_SAVED or template.name in named:
-                continue
-            at = max((_holds(rest, p), p) for p in template.keys)
-            if at[0] < 0:
+        for k, (template, _, own) in enumerate(_tools()):
+            if template.name in named:
                 continue
-            runs = [m for m in difflib.SequenceMatcher(None, rest, own, autojunk=False).get_matching_blocks() if m.size >= 2]
-            near = {i for m in runs for i in range(m.a, m.a + m.size)} | set(range(at[0], at[0] + len(at[1])))
-            low, high = min(near), max(near) + 1
-            other = high - low - len(near)
-            if other <= MOST_OTHER * (high - low) and (best is None or (other, -saved) < best[:2]):
-                best = (other, -saved, template.name, near)
+            seen: set[int] = set()
+            for at, end in sorted((a, a + len(p)) for p in template.keys for a in _places(rest, p)):
+                if at in seen:
+                    continue
+                near = _span(rest, own, range(at, end))
+                seen |= near
+                low, high = min(near), max(near) + 1
+                saved = saving(k, rest[low:high])
+                other = high - low - len(near)
+                if saved >= LEAST_SAVED and (best is None or (other - len(near), -saved) < best[:2]):
+                    best = (other - len(near), -saved, other, template.name, near)
         if best is None:
             break
-        other, saved, name, near = best
+        _, saved, other, name, near = best
         out.append((name, -saved, other))
         named.add(name)
         rest = [w for i, w in enumerate(rest) if i not in near]
