@@ -194,3 +194,14 @@ def test_snapshot_of_a_folder(spark, tmp_path):
     (tmp_path / "x" / "b.rs").write_bytes(b"\xff\xfe")
     out = {r.path.rsplit("/", 1)[1]: (r.lang, r.status, r.bytes_len) for r in artefacts.snapshot(spark, str(tmp_path)).collect()}
     assert out == {"a.py": ("python", "complete", 6), "b.rs": ("rust", "failed", 2)}
+
+
+def test_fixpoint_ends_whole_or_fails(spark):
+    from textloom.operators import graphs
+
+    e = spark.createDataFrame([(k, k + 1) for k in range(6)], "a long, b long")
+    step = lambda new: new.join(e.toDF("b", "c"), "b").selectExpr("a", "c AS b")
+    for most in (None, 5):
+        assert graphs.fixpoint(e, step, ["a", "b"], most).count() == 21
+    with pytest.raises(RuntimeError):
+        graphs.fixpoint(e, step, ["a", "b"], 3)

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -25,16 +26,18 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], most: int = 1000) -> DataFrame:
-    """Rows of ``seed`` and all that ``step`` derives from new rows, each key once (semi-naive)."""
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], most: int | None = None) -> DataFrame:
+    """Rows of ``seed`` and all that ``step`` derives from new rows, each key once (semi-naive), until none is new. An error
+    if ``most`` rounds do not reach that."""
     new = kept(seed.dropDuplicates(keys))
     every = new
-    for _ in range(most):
+    for done in itertools.count():
         new = kept(step(new).dropDuplicates(keys).join(every, keys, "left_anti"))
         if new.isEmpty():
-            break
+            return every
+        if done == most:
+            raise RuntimeError(f"no fixpoint after {most} rounds")
         every = every.unionByName(new)
-    return every
 
 
 def closure(edges: DataFrame) -> DataFrame:
