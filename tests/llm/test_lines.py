@@ -47,3 +47,11 @@ def test_stage(spark):
     assert out.columns == docs.columns and out.count() == docs.count()
     assert out.where("text is null").count() == docs.where("text is null").count()
     assert lines.dedup(docs.limit(0), 3).count() == 0
+
+
+def test_parts_are_jobs_of_their_own(spark):
+    """However many parts there are, a task holds one of them: the plan has one Python stage, and the result is the same."""
+    docs = spark.createDataFrame(fixtures.documents(), fixtures.DOCS)
+    whole, dealt = lines.cut(docs, 2), lines.cut(docs, 2, most_lines=1)
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, whole.collect()))

@@ -6,8 +6,9 @@ each task. A sketch settles lines whose estimate is far from ``min_sites``; thos
 distinct count. Lines on at least ``min_sites`` sites are boilerplate: the first one (smallest doc_id, then line)
 stays and the others are cut from their texts with their line feeds.
 
-The lines found, which are far fewer than documents, go to the executors in parts of at most ``most_lines`` (20 bytes
-a line), one pass over the texts for each part, so memory is bounded however many there are.
+The lines found, which are far fewer than documents, go to the executors in parts of at most about ``most_lines`` (20
+bytes a line). Each part is a pass over the texts of its own, written out before the next one's table is broadcast, so a
+task holds one table and one Python worker however many parts there are.
 
 Cases: a null text stays null and an empty one empty, and a document that loses every line keeps an empty text; blank
 lines are never counted or cut; a null source is a site of its own; lines of rows with a null doc_id come after all
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.storage import saved
+from textloom.llm.storage import dropped, saved
 from textloom.llm.texts import map_texts, named
 
 MIN_SITES = 10
@@ -87,12 +88,18 @@ def cut(docs: DataFrame, min_sites: int = MIN_SITES, most_lines: int = MOST_LINE
     parts = max(1, -(-found.count() // most_lines))
     carry = [c for c in docs.columns if c != "text"] if carry is None else carry
     out = docs.select(F.struct(*[named(c) for c in carry]).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.lit(None).cast("array<int>").alias("gone"))
+    held: list[DataFrame] = []
     for k in range(parts):
         table = found.where(F.pmod("hash", F.lit(parts)) == k).toArrow().combine_chunks().sort_by("hash")
         lookup = spark.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("hash", "doc_id", "line")))
         out = map_texts(out, _kernel(lookup, k == parts - 1), FIELDS, ["row", "id", *(["text"] if k < parts - 1 else [])], also=[F.col("id"), F.coalesce("gone", F.array().cast("array<int>"))])
-        out = out.select("row.row", "text", "n_lines", "cut") if k == parts - 1 else out.select("row.row", "row.text", "row.id", F.col("cut").alias("gone"))
-    return out
+        if k == parts - 1:
+            return out.select("row.row", "text", "n_lines", "cut")
+        before, out = held, saved(out.select("row.row", "row.text", "row.id", F.col("cut").alias("gone")), "cut")
+        held = [out]
+        dropped(*before)
+        lookup.destroy()
+    raise AssertionError("there is always a last part")
 
 
 def dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
