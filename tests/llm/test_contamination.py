@@ -89,3 +89,15 @@ def test_cut_out(spark):
     out = contamination.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert out.columns == docs.columns
     assert {r.doc_id: r.text for r in out.collect()} == {1: "Before it, " + fixtures.prose(2, 30) + " ; after é.", 3: None}
+
+
+def test_parts_are_jobs_of_their_own(spark):
+    """A long item is cut into pieces and items dealt over automata; a task holds one, and the result is the same."""
+    docs = spark.createDataFrame(fixtures.documents(), fixtures.DOCS)
+    items = [(1, fixtures.prose(1, 180)), (2, fixtures.prose(7, 70)), (3, "one two three"), (4, fixtures.prose(3, 400)), (5, None), (6, "")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    whole = contamination.digest(contamination.scan(docs, table, carry=["doc_id"]))
+    dealt = contamination.scan(docs, table, most_words=50, carry=["doc_id"])
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(str, contamination.digest(dealt).collect())) == sorted(map(str, whole.collect()))
+    assert contamination.scan(spark.createDataFrame([], fixtures.DOCS), table).count() == 0

@@ -6,8 +6,10 @@ tells of which items. An item of fewer words is one window of its own, found alo
 two words in a row occur together in an item send the automaton back to its root, so numpy finds the runs between
 such places and only runs that can hold a whole window are streamed.
 
-Memory: an automaton holds at most ``most_words`` words. More items are dealt over several automata, each gathered,
-broadcast and passed over the documents in turn, so what a task or the driver holds never grows with the benchmark.
+Memory: an automaton holds about ``most_words`` words. A longer item is cut into pieces that overlap by a window less a
+word, so no window is lost; pieces are dealt over several automata by a hash. Each automaton is gathered, broadcast and
+passed over the documents in a job of its own, written out before the next one is made, so what a task or the driver
+holds never grows with the benchmark.
 
 Cases: a null or wordless text has no words and no hits; null or wordless items have no windows; items with a null id
 hit but are not listed; repeated rows and ids are judged row by row; an empty benchmark hits nothing, and an empty
@@ -17,6 +19,7 @@ table gives an empty table; documents' other columns never clash, as they stay i
 from __future__ import annotations
 
 from collections import defaultdict
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import kernels
+from textloom.llm.storage import dropped, saved
 from textloom.llm.texts import map_texts
 
 WINDOW = 10
@@ -196,9 +200,20 @@ def _kernel(broadcast):
 FIELDS = "n_words long, spans array<struct<first_word: int, end_word: int, first_byte: int, end_byte: int>>, items array<long>"
 
 
-def shards(benchmark: DataFrame, most_words: int) -> list:
-    """Filters that deal the items over automata of bounded size by a hash of their text."""
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def pieces(benchmark: DataFrame, window: int, most_words: int) -> DataFrame:
+    """item_id and text of the items; those that may have over ``most_words`` words are cut into pieces that overlap."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    step = max(1, most_words - window + 1)
+    words = F.regexp_extract_all(F.translate("text", ascii_uppercase, ascii_lowercase), F.lit(WORD), F.lit(0))
+    first = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - window), F.lit(step))
+    cut = F.transform(first, lambda k: F.array_join(F.slice(words, k + 1, step + window - 1), " "))
+    long = F.octet_length("text") > most_words  # a word has a byte at least
+    return rows.withColumn("text", F.explode_outer(F.when(long, cut).otherwise(F.array("text"))))
+
+
+def shards(items: DataFrame, most_words: int) -> list:
+    """Filters that deal the pieces over automata of bounded size by a hash of their text."""
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // (most_words * 5)))
     return [F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k for k in range(n)]
 
@@ -206,16 +221,23 @@ def shards(benchmark: DataFrame, most_words: int) -> list:
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_words: int = MOST_WORDS, carry: list[str] | None = None) -> DataFrame:
     """``row`` (the columns of ``carry`` and the text) with n_words, the hit spans and the ids of the items found."""
     carry = [*(docs.columns if carry is None else carry)]
-    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    out, parts = None, shards(benchmark, most_words)
+    items = pieces(benchmark, window, most_words)
+    parts = shards(items, most_words)
+    last, out = len(parts) - 1, None
     for k, part in enumerate(parts):
-        rows = [(x[0], x[1]) for x in benchmark.where(part).collect()]
+        rows = [(x[0], x[1]) for x in items.where(part).collect()]
         broadcast = docs.sparkSession.sparkContext.broadcast(Index(rows, window))
-        source = docs if out is None else out.withColumn("text", F.col("row")["text"])
-        out = map_texts(source, _kernel(broadcast), FIELDS, [*dict.fromkeys([*carry, *(["text"] if len(parts) > 1 else [])])] if k == 0 else ["row", "spans", "items"])
+        before = out
+        source = docs if before is None else before.withColumn("text", F.col("row")["text"])
+        out = map_texts(source, _kernel(broadcast), FIELDS, [*dict.fromkeys([*carry, *(["text"] if last else [])])] if k == 0 else ["row", "spans", "items"])
         if k:
             same = F.array_distinct(F.concat(F.col("row")["items"], "items"))
             out = out.select(F.col("row")["row"].alias("row"), "n_words", _joined(F.concat(F.col("row")["spans"], "spans")).alias("spans"), F.array_sort(same).alias("items"))
+        if k < last:
+            out = saved(out, "scanned")
+            broadcast.destroy()
+            if before is not None:
+                dropped(before)
     return out
 
 
