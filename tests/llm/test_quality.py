@@ -63,3 +63,11 @@ def test_no_labels_and_no_documents(spark):
     none = spark.createDataFrame([], LABELS)
     assert sorted(r.score for r in quality.score(docs, none).collect()) == [0.0, 0.5]
     assert quality.keep(docs.limit(0), none).columns == docs.columns
+
+
+def test_rows_that_repeat_an_id_teach_once(spark):
+    docs = [(k, fixtures.prose(k, 30), "en", "s", 1) for k in range(40)] * 5 + [(0, None, None, None, None)]
+    table = spark.createDataFrame(docs, fixtures.DOCS)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    votes = quality.fit(table, labels)
+    assert len(votes.labels) == sum(not fixtures.held_out(k) for k in range(40))

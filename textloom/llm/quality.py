@@ -10,7 +10,8 @@ Only rows whose crc32 of the id, as text, is not 2 modulo 4 are learnt from; lab
 score.
 
 Cases: a null, empty or blank text scores 0; ids that are null are not held out, and labels with null values or without
-a document are left out; of several labels of an id the least counts; without any usable label every score is 0.5 (0
+a document are left out; of several labels of an id the least counts, and of several texts of a labelled id
+the one of the least features; without any usable label every score is 0.5 (0
 for blank texts); repeated rows score alike; an empty table gives an empty table; other columns pass through.
 """
 
@@ -118,7 +119,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Votes
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
-    table = map_texts(rows, _feature_bytes, "features binary", ["doc_id", "quality"]).selectExpr("row.doc_id", "row.quality", "features").limit(2 * most).toArrow()
+    made = map_texts(rows, _feature_bytes, "features binary", ["doc_id", "quality"]).selectExpr("row.doc_id", "row.quality", "features")
+    # one row an id, the same one at every run, whatever rows repeat it
+    table = made.groupBy("doc_id").agg(F.min(F.struct("features", "quality")).alias("x")).select("doc_id", "x.quality", "x.features").toArrow()
     if not len(table):
         return None
     table = table.sort_by("doc_id")
