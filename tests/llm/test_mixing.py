@@ -96,3 +96,14 @@ def test_every_pass_has_its_position(spark):
             assert schedule(slope[source], r.position) * r.target == pytest.approx(at, abs=1e-6)
             at += r.taken
         assert at == pytest.approx(r.target, abs=1)
+
+
+def test_many_sources_and_odd_names(spark):
+    """Sources are ranked over ranges of their names, and columns may be called anything."""
+    rows = [(k, "w " * (1 + k % 7), "en", None if k % 50 == 0 else f"host{k % 90:03d}", 1) for k in range(900)]
+    got = sorted(map(tuple, mixing.mix(spark.createDataFrame(rows, fixtures.DOCS)).collect()))
+    for a, b in zip(got, sorted(brute(rows)), strict=True):
+        assert a[:3] == b[:3] and a[3:5] == pytest.approx(b[3:5], abs=1)
+    odd = spark.createDataFrame(rows, fixtures.DOCS).withColumnRenamed("lang", "a.b").withColumnRenamed("n_chars", "w`x")
+    out = mixing.mix(odd, carry=True)
+    assert out.schema["row"].dataType.names == ["doc_id", "text", "a.b", "source", "w`x"] and out.count() == 900

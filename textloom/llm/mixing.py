@@ -21,6 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm.storage import saved
+from textloom.llm.texts import named
+
 #: Weights of sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -33,17 +36,30 @@ def _cycle(values: tuple, rank: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (rank % len(values) + 1).cast("int"))
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``rank``, the place of its skey from 0, nulls last: rows are dealt over ranges of skey, numbered
+    within each, and the numbers of rows of the ranges before are added. Only those, one row a range, meet in a task."""
+    order = (F.col("skey").isNull(), F.col("skey"))
+    ranges = saved(sizes.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranges.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return ranges.join(F.broadcast(base), "range").select("*", (F.col("base") + own - 1).alias("rank")).drop("range", "base")
+
+
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most_epochs: int = MOST_EPOCHS, slopes: tuple = SLOPES) -> DataFrame:
-    """``sizes`` (skey, source_size), one row for each source -> with target and slope. Water-filling in closed form:
-    with sources in the order in which they reach their limit, the level is where the first one stays below it."""
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("skey").isNull(), "skey")) - 1)
-    ranked = ranked.select("skey", "source_size", _cycle(weights, F.col("rank")).cast("long").alias("w"), _cycle(slopes, F.col("rank")).alias("slope"), (F.col("source_size") * most_epochs).alias("cap"))
-    order = Window.orderBy(F.col("cap") / F.col("w"), "skey")
-    before, every = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    level = (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0)))
-    ranked = ranked.select("*", level.alias("level"), F.row_number().over(order).alias("at"))
-    free = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct("at", "level"))).over(every)["level"]
-    return ranked.select("skey", "source_size", "slope", F.least(F.col("cap").cast("double"), free * F.col("w")).alias("target"))
+    """``sizes`` (skey, source_size), one row for each source -> with target and slope. Water-filling: sources above
+    their limit at the level of those that are not are set to it, until none is above; each round is one aggregation."""
+    ranked = _ranked(sizes).select("skey", "source_size", _cycle(weights, F.col("rank")).cast("long").alias("w"), _cycle(slopes, F.col("rank")).alias("slope"), (F.col("source_size") * most_epochs).alias("cap"))
+    ranked = saved(ranked, "sources")
+    level, capped = 0.0, -1
+    while True:
+        above = F.lit(level) * F.col("w") > F.col("cap")
+        x = ranked.agg(F.sum("source_size").alias("size"), F.sum(F.when(above, F.col("cap"))).alias("held"), F.sum(F.when(~above, F.col("w"))).alias("w"), F.count(F.when(above, 1)).alias("n")).first()
+        if x.n == capped or not x.w:
+            break
+        capped, level = x.n, (x.size - (x.held or 0)) / x.w
+    return ranked.select("skey", "source_size", "slope", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("w")).alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most_epochs: int = MOST_EPOCHS, slopes: tuple = SLOPES, carry: bool = False, passes: bool = False) -> DataFrame:
@@ -55,7 +71,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most_epochs: int = MOST_EPOCH
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     # a prefix keeps nulls apart from every name and the order of code points
     skey = F.when(F.col("source").isNotNull(), F.concat(F.lit("s"), F.col("source")))
-    base = docs.select(F.coalesce(skey, F.lit("t")).alias("skey"), "doc_id", size.alias("size"), key.alias("key"), F.xxhash64("text").alias("tie"), F.conv(F.substring(key, 1, 3), 16, 10).cast("int").alias("bucket"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    base = docs.select(F.coalesce(skey, F.lit("t")).alias("skey"), "doc_id", size.alias("size"), key.alias("key"), F.xxhash64("text").alias("tie"), F.conv(F.substring(key, 1, 3), 16, 10).cast("int").alias("bucket"), *([F.struct(*[named(c) for c in docs.columns]).alias("row")] if carry else []))
+    base = saved(base, "sizes")  # words are counted once
     sums = base.groupBy("skey", "bucket").agg(F.sum("size").alias("n"))
     sources = targets(sums.groupBy("skey").agg(F.sum("n").alias("source_size")), weights, most_epochs, slopes)
     ahead = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
