@@ -1,7 +1,7 @@
-"""License notices and texts that blocks are compared with.
+"""License texts and notices that blocks are compared with.
 
-Fixed values: the wording of public licenses' notices, which must be what authors copy into their files. ``keys`` are
-the phrases without which a block is not this license's, whatever else it shares with it.
+Fixed values: the wording of public licenses and of the notices that name them, which must be what authors copy into
+their files. ``forms`` are the statements, notices and whole texts of a license, each of which licenses by itself.
 """
 
 from __future__ import annotations
@@ -11,14 +11,24 @@ from typing import NamedTuple
 
 class Template(NamedTuple):
     name: str
-    keys: tuple[tuple[str, ...], ...]
-    text: str
+    forms: tuple[str, ...]
 
+    @property
+    def text(self) -> str:
+        return " ".join(self.forms)
 
-_AS_IS = (
+
+_MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to "
+    "deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or "
+    "sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+)
+_MIT_REST = (
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
     "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
-    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS "
+    "IN THE SOFTWARE."
 )
 _BSD = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
@@ -26,43 +36,110 @@ _BSD = (
     "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
     "and/or other materials provided with the distribution. "
 )
+_BSD_THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission. "
+)
 _BSD_END = (
     'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
     "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
-    "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE."
+    "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH "
+    "DAMAGE."
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
+    "notice and this permission notice appear in all copies."
+)
+_ISC_END = (
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY '
+    "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM "
+    "LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+    "PERFORMANCE OF THIS SOFTWARE."
+)
+_APACHE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of '
+    "the License at http://www.apache.org/licenses/LICENSE-2.0"
+)
+_APACHE_END = (
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES '
+    "OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+    "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+)
+_UNLICENSE_END = (
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the "
+    "public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication "
+    "to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+    "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the "
+    "use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+    "redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you "
+    "wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not "
+    "required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not "
+    "be removed or altered from any source distribution."
+)
+_BOOST = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by "
+    'this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, '
+    "and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this "
+    "entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in "
+    "whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object "
+    "code generated by a source language processor."
 )
 
 
-def _gnu(name: str, version: str) -> str:
-    return (
-        f"This work is licensed under the GNU {name}, version {version}. Licensed under the GNU {name} v{version}. This program is free software: you can "
-        f"redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the "
-        f"License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
-        f"the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. You should have received a copy of "
-        f"the GNU {name} along with this program. If not, see <https://www.gnu.org/licenses/>."
+def _statements(*names: str) -> tuple[str, ...]:
+    return tuple(f"{verb} {name}." for name in names for verb in ("Licensed under", "Released under", "Distributed under", "This work is licensed under"))
+
+
+def _gnu(kind: str, version: str) -> tuple[str, ...]:
+    grant = (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software "
+        f"Foundation, either version {version} of the License, or (at your option) any later version."
+    )
+    rest = (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        f"FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details. You should have received a copy of the GNU {kind} along with this program. If "
+        "not, see <https://www.gnu.org/licenses/>."
     )
+    return (*_statements(f"the GNU {kind}, version {version}", f"the GNU {kind} v{version}", f"the GNU {kind} version {version}.0"), grant, f"{grant} {rest}")
 
 
-def _cc(code: str, words: str) -> str:
-    return f"Licensed under CC {code} 4.0. This work is licensed under a Creative Commons {words} 4.0 International License. https://creativecommons.org/licenses/{code.lower()}/4.0/"
+def _cc(code: str, words: str) -> Template:
+    long = f"This work is licensed under a Creative Commons {words} 4.0 International License."
+    forms = (*_statements(f"CC {code} 4.0", f"Creative Commons {words} 4.0"), long, f"{long} https://creativecommons.org/licenses/{code.lower()}/4.0/")
+    return Template(f"CC-{code}-4.0", forms)
 
 
 TEMPLATES = (
-    Template("MIT", (("mit", "license"), ("permission", "is", "hereby", "granted", "free", "of", "charge", "to", "any", "person", "obtaining")), "Released under the MIT License. Licensed under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS),
-    Template("Apache-2.0", (("apache", "license", "version", "2", "0"),), 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
-    Template("BSD-2-Clause", (("redistribution", "and", "use", "in", "source", "and", "binary", "forms"), ("2", "clause", "bsd")), "Licensed under the 2-Clause BSD License. " + _BSD + _BSD_END),
-    Template("BSD-3-Clause", (("neither", "the", "name"), ("3", "clause", "bsd")), "Licensed under the 3-Clause BSD License. " + _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_END),
-    Template("GPL-2.0", (("gnu", "general", "public", "license", "version", "2"), ("gnu", "general", "public", "license", "v2"), ("version", "2", "of", "the", "license")), _gnu("General Public License", "2")),
-    Template("GPL-3.0", (("gnu", "general", "public", "license", "version", "3"), ("gnu", "general", "public", "license", "v3"), ("version", "3", "of", "the", "license")), _gnu("General Public License", "3")),
-    Template("LGPL-3.0", (("gnu", "lesser", "general", "public", "license"),), _gnu("Lesser General Public License", "3")),
-    Template("AGPL-3.0", (("gnu", "affero", "general", "public", "license"),), _gnu("Affero General Public License", "3")),
-    Template("MPL-2.0", (("mozilla", "public", "license"),), "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-    Template("ISC", (("permission", "to", "use", "copy", "modify", "and", "or", "distribute", "this", "software"), ("isc", "license")), "Licensed under the ISC License. Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."),
-    Template("Unlicense", (("unencumbered", "software", "released", "into", "the", "public", "domain"),), "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
-    Template("CC-BY-4.0", (("cc", "by", "4", "0"), ("creative", "commons", "attribution", "4", "0")), _cc("BY", "Attribution")),
-    Template("CC-BY-SA-4.0", (("cc", "by", "sa", "4", "0"), ("creative", "commons", "attribution", "sharealike", "4", "0")), _cc("BY-SA", "Attribution-ShareAlike")),
-    Template("CC-BY-NC-4.0", (("cc", "by", "nc", "4", "0"), ("creative", "commons", "attribution", "noncommercial", "4", "0")), _cc("BY-NC", "Attribution-NonCommercial")),
-    Template("CC-BY-ND-4.0", (("cc", "by", "nd", "4", "0"), ("creative", "commons", "attribution", "noderivatives", "4", "0")), _cc("BY-ND", "Attribution-NoDerivatives")),
-    Template("CC0-1.0", (("cc0",), ("no", "rights", "reserved")), "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. Licensed under CC0 1.0 Universal. No rights reserved."),
-    Template("All-Rights-Reserved", (("all", "rights", "reserved"),), "All rights reserved. No part of this work may be reproduced without permission of the copyright holder."),
+    Template("MIT", (*_statements("the MIT License", "MIT license terms"), _MIT_GRANT, f"{_MIT_GRANT} {_MIT_REST}")),
+    Template("Apache-2.0", (*_statements("the Apache License, Version 2.0", "the Apache License 2.0"), _APACHE, f"{_APACHE} {_APACHE_END}")),
+    Template("BSD-2-Clause", (*_statements("the 2-Clause BSD License", "the BSD 2-Clause License"), _BSD, f"{_BSD} {_BSD_END}")),
+    Template("BSD-3-Clause", (*_statements("the 3-Clause BSD License", "the BSD 3-Clause License"), _BSD + _BSD_THIRD, f"{_BSD} {_BSD_THIRD} {_BSD_END}")),
+    Template("GPL-2.0", _gnu("General Public License", "2")),
+    Template("GPL-3.0", _gnu("General Public License", "3")),
+    Template("LGPL-2.1", _gnu("Lesser General Public License", "2.1")),
+    Template("LGPL-3.0", _gnu("Lesser General Public License", "3")),
+    Template("AGPL-3.0", _gnu("Affero General Public License", "3")),
+    Template("MPL-2.0", (*_statements("the Mozilla Public License, Version 2.0"), "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.")),
+    Template("ISC", (*_statements("the ISC License"), _ISC, f"{_ISC} {_ISC_END}")),
+    Template("Zlib", (*_statements("the zlib License"), _ZLIB)),
+    Template("BSL-1.0", (*_statements("the Boost Software License, Version 1.0"), "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)", _BOOST)),
+    Template("Unlicense", (_UNLICENSE, f"{_UNLICENSE} {_UNLICENSE_END}")),
+    _cc("BY", "Attribution"),
+    _cc("BY-SA", "Attribution-ShareAlike"),
+    _cc("BY-NC", "Attribution-NonCommercial"),
+    _cc("BY-ND", "Attribution-NoDerivatives"),
+    _cc("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    _cc("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    Template("CC0-1.0", (*_statements("CC0 1.0 Universal", "CC0 1.0"), "No rights reserved.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.")),
+    Template("All-Rights-Reserved", ("All rights reserved.", "All rights reserved. No part of this work may be reproduced without permission of the copyright holder.")),
 )
