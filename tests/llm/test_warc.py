@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import zlib
 from pathlib import Path
 
 import pytest
@@ -57,3 +58,35 @@ def test_files_are_archives(spark, tmp_path):
     warc.write_archives(spark.createDataFrame(rows, PAGES), str(tmp_path / "out"))
     found = [h for f in Path(tmp_path / "out").glob("*.gz") for h, _ in warc.parse_warc(gzip.open(f))]
     assert len(found) == 20 and len({h["warc-record-id"] for h in found}) == 20
+
+
+def test_archives_on_the_shared_folder(spark, tmp_path, monkeypatch):
+    """ARC files of both versions are written and read, a gzip member a record, in files bounded by bytes; bodies of any
+    bytes pass, and what is no HTTP response is a resource; revisits name the record, address and date they refer to."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    rows = [(k, f"http://a/{k}", f"<p>{k % 7}</p>" * 300) for k in range(40)]
+    warc.write_arcs(spark.createDataFrame(rows, PAGES), str(tmp_path / "arc"))
+    odd = [("http://b/1", bytes(range(256)) * 3), ("http://b/2", b"HTTP/1.0 200 OK\r\n\r\n" + bytes(range(256)) * 3), ("dns:b", b"20240101 1.2.3.4\n")]
+    (tmp_path / "arc" / "odd.arc.gz").write_bytes(gzip.compress(warc.arc(odd, 2)))
+    arcs = list((tmp_path / "arc").glob("*.arc.gz"))
+    assert len(arcs) > 8 and all(len(gzip.open(f).read()) < 30_000 for f in arcs) and {gzip.open(f).read().split(b"\n")[1][:1] for f in arcs} == {b"1", b"2"}
+    warc.convert_archives(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    files = list((tmp_path / "warc").glob("*.warc.gz"))
+    found = []
+    for f in files:
+        data = f.read_bytes()
+        members = 0
+        while data:
+            unpack = zlib.decompressobj(31)
+            (record,) = warc.parse_warc(io.BytesIO(unpack.decompress(data) + unpack.flush()))
+            found.append(record)
+            assert (record[0]["warc-type"] == "warcinfo") == (members == 0)
+            members, data = members + 1, unpack.unused_data
+    by_id = {h["warc-record-id"]: h for h, _ in found}
+    revisits = [h for h, _ in found if h["warc-type"] == "revisit"]
+    assert len(revisits) == 33  # records without a page are responses or resources
+    for h in revisits:
+        first = by_id[h["warc-refers-to"]]
+        assert first["warc-target-uri"] == h["warc-refers-to-target-uri"] and first["warc-date"] == h["warc-refers-to-date"] and first["warc-payload-digest"] == h["warc-payload-digest"]
+    kinds = {h["warc-target-uri"]: (h["warc-type"], b) for h, b in found if h["warc-type"] != "warcinfo"}
+    assert kinds["dns:b"] == ("resource", odd[2][1]) and kinds["http://b/1"] == ("resource", odd[0][1]) and kinds["http://b/2"] == ("response", odd[1][1])
