@@ -251,7 +251,9 @@ def _star_links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, threshold:
     pairs = pairs.join(regs.toDF("a", "n_a", "regs_a"), "a").join(regs.toDF("b", "n_b", "regs_b"), "b")
     pairs = saved(pairs.mapInArrow(lambda batches: _likely(batches, threshold), "a long, b long"), "pairs")
     joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: _confirm(batches, threshold), "a long, b long").distinct()
+    links = saved(joined.select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: _confirm(batches, threshold), "a long, b long").distinct(), "links")
+    dropped(pairs)
+    return links
 
 
 def _cross_links(members: DataFrame, labels: DataFrame, sets: DataFrame, texts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -275,7 +277,9 @@ def _cross_links(members: DataFrame, labels: DataFrame, sets: DataFrame, texts:
     columns = "bucket long, band int, id long, component long, i int, j int, side int, n long, regs binary"
     cells = cells.join(sets.select("id", "n", "regs"), "id").select(*[c.split()[0] for c in columns.split(", ")])
     likely = saved(cells.groupBy("bucket", "i", "j").applyInArrow(lambda table: _partnered(table, threshold), columns), "likely")
-    return likely.join(texts, "id").groupBy("bucket", "i", "j").applyInArrow(lambda table: _across(table, threshold), "a long, b long").distinct()
+    links = saved(likely.join(texts, "id").groupBy("bucket", "i", "j").applyInArrow(lambda table: _across(table, threshold), "a long, b long").distinct(), "links")
+    dropped(likely)
+    return links
 
 
 def grouped(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -293,11 +297,13 @@ def grouped(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFram
         ids = F.broadcast(ids)
     texts = saved(rows.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
     star = members.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = saved(_star_links(star, sets, texts, threshold), "links")
+    links = _star_links(star, sets, texts, threshold)
     labels = components(links)
-    more = saved(_cross_links(members, labels, sets, texts, threshold), "links")
+    more = _cross_links(members, labels, sets, texts, threshold)
     if not more.isEmpty():
-        labels = components(links.union(more))
+        before, labels = labels, components(links.union(more))
+        dropped(before)
+    dropped(members, texts, links, more)
     by_set = sets.join(labels, "id", "left").select("set", F.coalesce("component", "id").alias("component"))
     out = sketched.select("doc_id", "n", "set").join(by_set, "set", "left")
     component = F.coalesce("component", "doc_id")

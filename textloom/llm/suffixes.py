@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import kernels
-from textloom.llm.storage import saved
+from textloom.llm.storage import dropped, saved
 from textloom.llm.texts import map_texts, named
 
 LENGTH = 400
@@ -338,13 +338,17 @@ def repeats(docs: DataFrame, most_snippets: int = MOST_SNIPPETS) -> DataFrame:
     cut = cut.select("row.key", F.explode(F.arrays_zip("row.wanted", "snippets")).alias("x")).select("key", "x.wanted.*", F.col("x.snippets").alias("snippet"))
     cut = saved(cut, "snippets")
     dealt = cut.where(F.col("distinct") <= most_snippets).select("key", "hash", "first", "count", "anchor", "snippet").repartition("hash").sortWithinPartitions("hash")
+    used = [runs, per, cut]
     ranges = copies.unionByName(dealt.mapInArrow(_buckets, "key binary, start int, end int"))
     hot = cut.where(F.col("distinct") > most_snippets)
     if not hot.isEmpty():
         windows = saved(hot.select("key", "first", "count", "anchor", "snippet").mapInArrow(_hot_windows, "key binary, window long, start int"), "windows")
+        used.append(windows)
         twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
         ranges = ranges.unionByName(windows.join(twice, "window").select("key", "start", (F.col("start") + LENGTH).alias("end")))
-    return ranges.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    found = saved(ranges.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
+    dropped(*used)
+    return found
 
 
 def dedup(docs: DataFrame, carry: list[str] | None = None, most_snippets: int = MOST_SNIPPETS) -> DataFrame:
