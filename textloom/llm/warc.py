@@ -186,10 +186,9 @@ def _arcs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
 
     def rows() -> Iterator[tuple[str, bytes]]:
         for batch in batches:
-            ids, urls, html = batch.column("page_id"), batch.column("url"), batch.column("html").cast(pa.large_binary())
-            for i, url, body in zip(ids, urls, html, strict=True):
-                number = b"" if i.as_py() is None else b"%d" % i.as_py()
-                yield url.as_py(), b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: %s\r\n\r\n" % number + (body.as_py() or b"")
+            for x in (x for low in range(0, len(batch), 200) for x in batch.slice(low, 200).to_pylist()):
+                number = b"" if x["page_id"] is None else b"%d" % x["page_id"]
+                yield x["url"], b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: %s\r\n\r\n" % number + x["html"]
 
     def files() -> Iterator[bytes]:
         left, k = rows(), 0
@@ -222,7 +221,7 @@ def _read_arcs(batches: Iterator[pa.RecordBatch], bodies: bool) -> Iterator[pa.R
     types = [pa.int64() if n in ("page_id", "size") else pa.binary() if n == "body" else pa.string() for n in names]
     for batch in batches:
         for content in batch.column("content"):
-            data = gzip.decompress(content.as_buffer())
+            data = gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())).read()  # its time follows the bytes, whatever the members
             rows, size = [], 0
             origin = data[: data.find(b" ")].decode()
             for f, body in parse_arc(data):
@@ -250,8 +249,7 @@ def _warcs(batches: Iterator[pa.RecordBatch], head: bool, most: int) -> Iterator
     def files() -> Iterator[bytes]:
         members, size, origins, date = [], 0, {}, ""
         for batch in batches:
-            for k in range(len(batch)):
-                x = {c: v[k].as_py() for c, v in zip(batch.schema.names, batch.columns, strict=True)}
+            for x in (x for low in range(0, len(batch), 200) for x in batch.slice(low, 200).to_pylist()):
                 members.append(_member(convert(x, x["body"], x["refers_to"])))
                 origins[x["origin"]], date = None, max(date, x["date"])
                 size += len(x["body"])
