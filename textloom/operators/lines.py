@@ -31,7 +31,7 @@ IDIOMS: list[tuple[str, str, str]] = [
     ("js-unnecessary-await", "javascript", r"\breturn\s+await\b"),
     ("js-unnecessary-await", "typescript", r"\breturn\s+await\b"),
 ]
-#: Points of a finding towards a file's slop score.
+# fixed values: points of a finding towards a file's slop score
 SLOP_WEIGHTS: list[tuple[str, float]] = [
     ("incompleteness", 25.0), ("long-method", 15.0), ("duplicate-block", 10.0), ("near-duplicate", 10.0), ("comment-block", 5.0), ("narrating-comment", 5.0),
     ("magic-number", 4.0), ("needless-clone", 4.0), ("needless-return", 4.0), ("let-and-return", 4.0),
@@ -152,6 +152,20 @@ def slop_scores(findings: DataFrame, nonblank: DataFrame, weights: DataFrame, ke
     return nonblank.join(points, key, "left").select(key, "nonblank", F.coalesce("n", F.lit(0)).cast("long").alias("findings"), F.round(score, 6).alias("score"))
 
 
+def document_slop(docs: DataFrame, key: str, blocks: DataFrame, text: str = "text") -> DataFrame:
+    """``slop_scores`` of prose, whose lines are looked at inside the row: unfinished lines, a number to name, and the
+    duplicate blocks that ``blocks`` (key, blocks) counts. Only the last is joined; no line leaves its row."""
+    lines = F.split(F.regexp_replace(text, "\n$", ""), "\n")
+    stubs = F.when(F.col(text).rlike(X.STUB), F.size(F.filter(lines, lambda x: x.rlike(X.STUB)))).otherwise(0)
+    number = F.col(text).rlike("[0-9]") & F.exists(lines, lambda x: x.rlike("[0-9]") & (F.size(X.magic_numbers(X.code_before_comment(x, F.lit("#")))) > 0))
+    rows = docs.select(key, F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long").alias("nonblank"), stubs.alias("stubs"), F.coalesce(number, F.lit(False)).cast("int").alias("numbers"))
+    weight = dict(SLOP_WEIGHTS)
+    block = F.coalesce("blocks", F.lit(0))
+    points = F.col("stubs") * weight["incompleteness"] + F.col("numbers") * weight["magic-number"] + block * weight["duplicate-block"]
+    score = F.when(F.col("nonblank") == 0, 0.0).otherwise(F.least(F.lit(100.0), 100 * points / F.col("nonblank")))
+    return rows.join(blocks, key, "left").select(key, "nonblank", (F.col("stubs") + F.col("numbers") + block).cast("long").alias("findings"), F.round(score, 6).alias("score"))
+
+
 def single_use_bindings(lines: DataFrame) -> DataFrame:
     """Clojure bindings of one name whose body uses it once: path, line_no, name."""
     pattern = r"\(let\s+\[\s*([A-Za-z_][A-Za-z0-9_]*)\s+([^\]\n]+)\]\s+([^)]+)\)"

@@ -94,13 +94,6 @@ WEIGHTS = literal_sql(L.SLOP_WEIGHTS, "rule, weight")
 _WINDOW = "w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS ws FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 22), lambda i: sha256(array_to_string(ws[i:i + 23], ' ')))) AS h FROM w WHERE len(ws) >= 24), dup AS (SELECT DISTINCT doc_id FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1))"
 
 
-def shared_window_documents(docs, n: int = 24):
-    """doc_id of documents that share a window of n words with another. Windows are hashed before anything is shuffled."""
-    grams = D.hashed_windows(docs, "doc_id", n)
-    seen = grams.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
-    return grams.join(seen, "h", "left_semi").select("doc_id").distinct()
-
-
 @query("slop_score", f"""WITH {DOC_LINES}, {_WINDOW}, wt AS {WEIGHTS},
 found AS (SELECT doc_id, 'incompleteness' AS rule FROM l WHERE regexp_matches(line, '{_STUB}')
   UNION ALL SELECT doc_id, 'duplicate-block' FROM dup
@@ -110,13 +103,8 @@ b AS (SELECT doc_id, count(*) FILTER (trim(line) <> '') AS nonblank FROM l GROUP
 SELECT doc_id, nonblank, coalesce(n, 0) AS findings, round(CASE WHEN nonblank = 0 THEN 0 ELSE least(100.0, 100 * coalesce(CAST(points AS DOUBLE), 0) / nonblank) END, 6) AS score FROM b LEFT JOIN p USING (doc_id)""")
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    lines = L.plain_lines(docs, "doc_id")
-    numbers = X.magic_numbers(X.code_before_comment(F.col("line"), F.lit("#")))
-    found = lines.where(F.col("line").rlike(X.STUB)).select("doc_id", F.lit("incompleteness").alias("rule"))
-    found = found.unionByName(lines.where(F.size(numbers) > 0).select("doc_id", F.lit("magic-number").alias("rule")).distinct())
-    found = found.unionByName(shared_window_documents(docs).withColumn("rule", F.lit("duplicate-block")))
-    nonblank = lines.groupBy("doc_id").agg(F.count_if(F.trim("line") != "").alias("nonblank"))
-    return L.slop_scores(found, nonblank, spark.createDataFrame(L.SLOP_WEIGHTS, "rule string, weight double"), "doc_id")
+    shared = D.shared_windows(docs, "doc_id").where("shared > 0").select("doc_id", F.lit(1).alias("blocks"))
+    return L.document_slop(docs, "doc_id", shared)
 
 
 @query("inline_suppression", f"""WITH raw AS {literal_sql([('a.py', 1, 'x = 5  # lint-ignore magic-number -- known'), ('a.py', 2, 'y = 6'), ('a.py', 3, 'z = 7'), ('b.py', 1, '# lint-ignore *'), ('b.py', 2, 'w = 8')], 'path, line_no, line')}, fs AS {literal_sql([('a.py', 1, 'magic-number'), ('a.py', 2, 'magic-number'), ('a.py', 2, 'other'), ('a.py', 3, 'magic-number'), ('b.py', 2, 'other'), ('c.py', 1, 'other')], 'path, line_no, rule')},
