@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.operators.graphs import kept
 
 
 def entropy(counts: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
@@ -55,13 +56,15 @@ def halstead(tokens: DataFrame, keys: list[str], operators: list[str]) -> DataFr
 def surprisal(pairs: DataFrame) -> DataFrame:
     """Leave-one-region-out bigram surprisal. ``pairs``: lang, region, ctx, token, n (counts within the region).
     mean, p90 and max of -log2 of (c(pair) - local + 1) / (c(ctx) - local + |V| + 1); |V| is not left out."""
-    # counts over all regions in one table, counts within a region in another: two joins of the pairs in all
-    pair = pairs.groupBy("lang", "ctx", "token").agg(F.sum("n").alias("pair_all"))
+    # regions are dealt once, and sums within them need no shuffle of their own; the table is then read twice
+    of = lambda *c: Window.partitionBy("lang", "region", *c)
+    own = pairs.select("*", F.sum("n").over(of("ctx")).alias("ctx_own"), F.sum("n").over(of()).alias("own"))
+    own = kept(own)
+    pair = own.groupBy("lang", "ctx", "token").agg(F.sum("n").alias("pair_all"))
+    pair = kept(pair)
     vocabulary = pair.groupBy("lang").agg(F.count_distinct("token").alias("v"), F.sum("pair_all").alias("all"))
-    every = pair.join(pair.groupBy("lang", "ctx").agg(F.sum("pair_all").alias("ctx_all")), ["lang", "ctx"]).join(F.broadcast(vocabulary), "lang")
-    ctx_own = pairs.groupBy("lang", "region", "ctx").agg(F.sum("n").alias("ctx_own"))
-    within = ctx_own.join(ctx_own.groupBy("lang", "region").agg(F.sum("ctx_own").alias("own")), ["lang", "region"])
-    rows = pairs.join(every, ["lang", "ctx", "token"]).join(within, ["lang", "region", "ctx"]).where("all > own")
+    every = pair.join(pair.groupBy("lang", "ctx").agg(F.sum("pair_all").alias("ctx_all")), ["lang", "ctx"]).join(vocabulary, "lang")
+    rows = own.join(every, ["lang", "ctx", "token"]).where("all > own")
     p = (F.col("pair_all") - F.col("n") + 1) / (F.col("ctx_all") - F.col("ctx_own") + F.col("v") + 1)
     bits = rows.select("lang", "region", "n", F.round(-F.log2(p), 9).alias("bits"))
     return bits.groupBy("lang", "region").agg(F.round(F.sum(F.col("bits") * F.col("n")) / F.sum("n"), 6).alias("mean"), F.round(F.percentile("bits", F.lit(0.9), F.col("n")), 6).alias("p90"), F.round(F.max("bits"), 6).alias("most"))
@@ -76,20 +79,38 @@ def robust_z(rows: DataFrame, group: list[str], value: str, least: int = 8) -> D
     return with_middle.join(mad, group).withColumn("z", F.round(z, 6)).withColumn("excess", F.round(F.greatest(F.lit(0.0), z), 6))
 
 
-def midrank_percentile(value: str, n: str = "count") -> Column:
-    """Mid-rank over all rows, from 0 to 1; 0.5 where there is one."""
-    w = Window.orderBy(value)
-    rank, peers = F.rank().over(w), F.count("*").over(Window.partitionBy(value))
-    return F.when(F.col(n) <= 1, 0.5).otherwise((2 * rank + peers - 3) / 2 / (F.col(n) - 1))
-
-
 def midrank_percentiles(rows: DataFrame, value: str, key: str) -> DataFrame:
     """Mid-rank percentiles without a single-task window: distinct values are counted first, and only they are ranked."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("peers"))
-    before = F.coalesce(F.sum("peers").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.select(value, "peers", before.alias("before"), F.sum("peers").over(Window.partitionBy()).alias("count"))
+    counts = cumulated(rows.groupBy(value).agg(F.count("*").alias("peers")), value, "peers")
     pct = F.when(F.col("count") <= 1, 0.5).otherwise((2 * F.col("before") + F.col("peers") - 1) / 2 / (F.col("count") - 1))
-    return rows.join(ranked, value).select(key, value, F.round(pct, 6).alias("percentile"))
+    return rows.join(counts, value).select(key, value, F.round(pct, 6).alias("percentile"))
+
+
+def cumulated(counts: DataFrame, value: str, n: str) -> DataFrame:
+    """``counts`` (distinct values with their numbers) with ``before``, the number at smaller values, and ``count``, that of
+    all. Values are dealt over ranges, summed within each, and the sums of the ranges before are added; only those, one row a
+    range, meet in one task."""
+    ranges = kept(counts.repartitionByRange(F.col(value)).withColumn("range", F.spark_partition_id()))
+    w = Window.orderBy("range")
+    sums = ranges.groupBy("range").agg(F.sum(n).alias("s")).select("range", F.coalesce(F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("count"))
+    own = F.sum(n).over(Window.partitionBy("range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    return ranges.join(F.broadcast(sums), "range").select(*counts.columns, (F.col("base") + F.coalesce(own, F.lit(0))).alias("before"), "count")
+
+
+def quantiles(rows: DataFrame, columns: list[str], at: list[float]) -> DataFrame:
+    """One row: linear quantiles of each column, named ``column_q``. Distinct values are counted and cumulated over
+    ranges; no task holds them all, and only the two about each quantile are gathered."""
+    out = None
+    for c in columns:
+        counts = cumulated(rows.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("x")).agg(F.count("*").alias("n")), "x", "n")
+        place = [F.lit(q) * (F.col("count") - 1) for q in at]
+        inside = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
+        picks = [F.max(F.when(inside(f(p)), F.col("x"))).alias(f"{name}{j}") for j, p in enumerate(place) for name, f in (("low", F.floor), ("high", F.ceil))]
+        one = counts.agg(F.max("count").alias("count"), *picks)
+        part = lambda j: place[j] - F.floor(place[j])
+        row = one.select(*[(F.col(f"low{j}") + (F.col(f"high{j}") - F.col(f"low{j}")) * part(j)).alias(f"{c}_{q}") for j, q in enumerate(at)])
+        out = row if out is None else out.crossJoin(F.broadcast(row))
+    return out
 
 
 def burden(rows: DataFrame) -> DataFrame:
@@ -112,7 +133,9 @@ def burden(rows: DataFrame) -> DataFrame:
 def distribution(rows: DataFrame, value: str) -> DataFrame:
     """One row: count, mean, median, population stddev, extremes, quartiles, whether flat, whether outliers may be told."""
     v = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.nanvl(F.col(value), F.lit(0.0))))
-    one = rows.agg(F.count("*").alias("count"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.stddev_pop(v).alias("stddev"), F.min(v).alias("low"), F.max(v).alias("high"), F.percentile(v, F.lit(0.25)).alias("p25"), F.percentile(v, F.lit(0.75)).alias("p75"))
+    values = kept(rows.select(v.alias("v")))
+    one = values.agg(F.count("*").alias("count"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("stddev"), F.min("v").alias("low"), F.max("v").alias("high"))
+    one = one.crossJoin(F.broadcast(quantiles(values, ["v"], [0.5, 0.25, 0.75]).toDF("median", "p25", "p75")))
     flat = (F.col("count") < 2) | (F.col("high") - F.col("low") < 0.05) | (F.col("stddev") < 0.01)
     return one.withColumn("flat", flat).withColumn("eligible", ~F.col("flat") & (F.col("count") >= 8))
 
@@ -123,12 +146,17 @@ def outliers(rows: DataFrame, key: str, value: str) -> DataFrame:
     ranked = midrank_percentiles(rows.select(key, value), value, key)
     z = (F.col(value) - F.col("mean")) / F.col("stddev")
     out = ranked.crossJoin(F.broadcast(d)).where("eligible").withColumn("z", F.round(z, 6)).where("z >= 1 AND percentile >= 0.9")
-    return out.select(key, value, "z", "percentile", F.row_number().over(Window.orderBy(F.col(value).desc(), key)).alias("rank"))
+    # the rank is the number of higher outliers, and the place among equal ones by key
+    counts = cumulated(out.groupBy(value).agg(F.count("*").alias("peers")), value, "peers").select(value, (F.col("count") - F.col("before") - F.col("peers")).alias("above"))
+    tied = F.row_number().over(Window.partitionBy(value).orderBy(key))
+    return out.join(counts, value).select(key, value, "z", "percentile", (F.col("above") + tied).cast("int").alias("rank"))
 
 
 def hotspots(rows: DataFrame, key: str, high: list[str], low: list[str], sigma: float = 2.0, tokens: str = "tokens") -> DataFrame:
     """Regions beyond median +- sigma deviations in any metric; the score adds their z, low ones count from 16 tokens."""
-    one = rows.agg(*[f(c).alias(f"{c}_{n}") for c in high + low for n, f in (("m", lambda c: F.percentile(c, F.lit(0.5))), ("s", F.stddev_pop))])
+    rows = kept(rows.select(key, *dict.fromkeys([*high, *low, tokens])))
+    middle = quantiles(rows, high + low, [0.5]).toDF(*[f"{c}_m" for c in high + low])
+    one = rows.agg(*[F.stddev_pop(c).alias(f"{c}_s") for c in high + low]).crossJoin(F.broadcast(middle))
     rows = rows.crossJoin(F.broadcast(one))
     marks = []
     for c, sign in [(c, 1) for c in high] + [(c, -1) for c in low]:

@@ -60,10 +60,11 @@ _PAIRS = f"tk AS (SELECT doc_id, lang, regexp_extract_all(text, '{WORD}') AS ts
 
 
 def bigrams(spark, d):
-    """Counts of (context, token) in each document, context and token paired within the row, so without a window."""
-    t = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("region"), "lang", t.alias("ts")).where(F.size("ts") > 0)
-    pairs = F.arrays_zip(F.concat(F.array(F.lit("<START>")), F.slice("ts", 1, F.size("ts") - 1)).alias("ctx"), F.col("ts").alias("token"))
+    """Counts of (context, token), as 64-bit hashes, in each document: paired within the row, so without a window, and dealt
+    by document once."""
+    t = F.transform(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), lambda x: F.xxhash64(x))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("region"), "lang", t.alias("ts")).where(F.size("ts") > 0).repartition("lang", "region")
+    pairs = F.arrays_zip(F.concat(F.array(F.xxhash64(F.lit("<START>"))), F.slice("ts", 1, F.size("ts") - 1)).alias("ctx"), F.col("ts").alias("token"))
     return rows.select("lang", "region", F.explode(pairs).alias("p")).select("lang", "region", "p.ctx", "p.token").groupBy("lang", "region", "ctx", "token").agg(F.count("*").alias("n"))
 
 
