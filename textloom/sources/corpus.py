@@ -34,3 +34,18 @@ USES: list[tuple[str, int, str, str]] = [
 
 def files(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FILES, FILE_COLUMNS)
+
+
+#: A package of our own, for what reads syntax trees.
+MODULES: list[tuple[str, str, str]] = [
+    ("shop/__init__.py", "python", "from shop.base import Item\n"),
+    ("shop/base.py", "python", "import os\nfrom . import rates\n\n\nclass Item:\n    kind = 'item'\n\n    def price(self, n, rate=1):\n        if n > 3:\n            return n * rate\n        elif n < 0:\n            raise ValueError(n)\n        return self.round(n)\n\n    def round(self, n):\n        return int(n)\n"),
+    ("shop/rates.py", "python", "RATE = 2\n\n\ndef rate(n):\n    def inner(k):\n        return k + n + RATE\n\n    total = 0\n    for k in range(n):\n        while k > 3:\n            k = k - 1\n            if k == 2:\n                break\n        total += inner(k)\n    return total if total else (lambda q: q)(n)\n"),
+    ("shop/cart.py", "python", "import shop.rates as rates\nfrom shop.base import Item\n\n\nclass Cart(Item):\n    def total(self, items):\n        out = [self.price(x, rate=rates.rate(x)) for x in items]\n        try:\n            return sum(out)\n        except TypeError as e:\n            print(e)\n        return Item.round(self, 0)\n"),
+    ("tools/rates.py", "python", "def rate(n):\n    return n\n"),
+    ("tools/use.py", "python", "import rates\nfrom shop import cart\n\nrates.rate(1)\nprint(cart.Cart().total([]))\n"),
+]
+
+
+def modules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(FILES + MODULES, FILE_COLUMNS)
