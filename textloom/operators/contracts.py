@@ -170,7 +170,7 @@ def unreached_config(c: DataFrame) -> DataFrame:
     dynamic = c.select("ix", F.exists("refs", lambda r: X.token_leaf(r).isin(DYNAMIC)).alias("d")).groupBy("ix").agg(F.max("d").alias("d"))
     keys = c.select("ix", "path", F.explode("literals").alias("key")).where(X.env_shaped(F.col("key")))
     reads = c.select("ix", F.explode("config_keys").alias("key")).distinct()
-    return keys.join(reads, ["ix", "key"], "left_anti").join(F.broadcast(dynamic), "ix").where("NOT d").select("ix", "path", "key").distinct()
+    return keys.join(reads, ["ix", "key"], "left_anti").join(dynamic, "ix").where("NOT d").select("ix", "path", "key").distinct()
 
 
 def sibling_gates(c: DataFrame, least_shared: int = 2, most_apart: int = 8) -> DataFrame:
@@ -221,7 +221,7 @@ def contract_splits(c: DataFrame) -> DataFrame:
     ends = reach_of(c).withColumn("leaf", X.token_leaf(F.col("token"))).join(names, ["ix", "leaf"], "left_anti").groupBy("ix", "name").agg(F.collect_set("token").alias("ends"))
     behave = c.where(F.col("name").rlike("^(decide|step|train|run|resume|execute|apply|process)")).select("ix", "path", F.col("name").alias("behaviour")).join(ends.toDF("ix", "behaviour", "x"), ["ix", "behaviour"])
     surface = surface_kind(c).withColumnRenamed("name", "surface").join(ends.toDF("ix", "surface", "y"), ["ix", "surface"])
-    j = behave.join(surface, ["ix", "path"]).where(~F.arrays_overlap("x", "y")).join(F.broadcast(dynamic), "ix").where("NOT d")
+    j = behave.join(surface, ["ix", "path"]).where(~F.arrays_overlap("x", "y")).join(dynamic, "ix").where("NOT d")
     return j.select("ix", "path", "behaviour", "surface", "kind")
 
 

@@ -6,31 +6,26 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
-import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.sources.shared import dropped, kept
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that executors share (``spark.checkpoint.dir``; a temporary one if unset), read back."""
-    spark = df.sparkSession
-    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not home:
-        home = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", home)
-    path = f"{home.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+#: Rounds after which what was found is written as one table again, so plans stay short.
+COMPACT = 8
+#: Graphs of so many edges at most fit in one task.
+SMALL = 50_000
 
 
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], most: int | None = None) -> DataFrame:
     """Rows of ``seed`` and all that ``step`` derives from new rows, each key once (semi-naive), until none is new. An error
     if ``most`` rounds do not reach that."""
     new = kept(seed.dropDuplicates(keys))
-    every = new
+    every, parts = new, [new]
     for done in itertools.count():
         new = kept(step(new).dropDuplicates(keys).join(every, keys, "left_anti"))
         if new.isEmpty():
@@ -38,6 +33,11 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list
         if done == most:
             raise RuntimeError(f"no fixpoint after {most} rounds")
         every = every.unionByName(new)
+        parts.append(new)
+        if len(parts) > COMPACT:
+            every = kept(every)
+            dropped(*parts[:-1])  # the newest part is still to be stepped from
+            parts = [every]
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -81,14 +81,95 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, component, size, cyclic. By closure both ways: meant for module graphs, which are small next to the code."""
-    c = closure(edges)
-    mutual = c.join(c.toDF("b", "a"), ["a", "b"]).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
-    own = nodes.join(mutual, "node", "left").select("node", F.least("node", F.coalesce("low", "node")).alias("component"))
+    """node, component (its smallest node), size, cyclic. A graph of ``SMALL`` edges at most is one task; a larger one is
+    coloured: nodes without a way in or out go at once, each other one takes the smallest node that reaches it, and what
+    reaches that node back within its colour is its component. No pairs are made; rounds grow with the longest path."""
+    e = kept(edges.where("a <> b").select("a", "b").distinct())
+    if e.limit(SMALL + 1).count() <= SMALL:
+        found = _components_of_small(e)
+    else:
+        found = _coloured(e)
+    own = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     size = own.groupBy("component").agg(F.count("*").alias("size"))
     return own.join(size, "component").select("node", "component", "size", (F.col("size") > 1).alias("cyclic"))
 
 
+def _components_of_small(edges: DataFrame) -> DataFrame:
+    """node, component of the nodes on cycles of a graph that fits in one task, by two depth-first walks."""
+    kind = dict(edges.dtypes)["a"]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        after: dict = {}
+        before: dict = {}
+        for a, b in zip(group["a"], group["b"], strict=True):
+            after.setdefault(a, []).append(b)
+            before.setdefault(b, []).append(a)
+        order, seen = [], set()
+        for root in after:
+            stack = [(root, iter(after[root]))] if root not in seen else []
+            seen.add(root)
+            while stack:
+                node, rest = stack[-1]
+                nxt = next((x for x in rest if x not in seen), None)
+                if nxt is None:
+                    order.append(node)
+                    stack.pop()
+                else:
+                    seen.add(nxt)
+                    stack.append((nxt, iter(after.get(nxt, ()))))
+        rows, placed = [], set()
+        for root in reversed(order):
+            if root in placed:
+                continue
+            part, stack = [], [root]
+            placed.add(root)
+            while stack:
+                node = stack.pop()
+                part.append(node)
+                for x in before.get(node, ()):
+                    if x not in placed:
+                        placed.add(x)
+                        stack.append(x)
+            if len(part) > 1:
+                least = min(part)
+                rows += [(x, least) for x in part]
+        return pd.DataFrame(rows, columns=["node", "component"])
+
+    return edges.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, f"node {kind}, component {kind}")
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """node, component of the nodes on cycles, by colours."""
+    done = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
+    left = edges
+    while True:
+        while True:  # nodes without a way in or out are on no cycle
+            inner = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+            inner = kept(inner)
+            n, had = inner.count(), left.count()
+            left = inner
+            if n == had:
+                break
+        if left.isEmpty():
+            return done
+        colour = kept(left.select(F.col("a").alias("node")).distinct().withColumn("colour", F.col("node")))
+        while True:
+            near = left.join(colour.toDF("a", "c"), "a").groupBy(F.col("b").alias("node")).agg(F.min("c").alias("near"))
+            after = kept(colour.join(near, "node", "left").select("node", F.col("colour").alias("old"), F.least("colour", F.coalesce("near", "colour")).alias("colour")))
+            changed = not after.where("colour <> old").isEmpty()
+            dropped(colour)
+            colour = after.select("node", "colour")
+            if not changed:
+                break
+        same = kept(left.join(colour.toDF("a", "x"), "a").join(colour.toDF("b", "y"), "b").where("x = y").select("a", "b"))
+        roots = colour.where("node = colour").select("node", F.col("colour").alias("component"))
+        back = same.select(F.col("b").alias("node"), F.col("a").alias("next"))
+        found = kept(fixpoint(roots, lambda new, back=back: new.join(back, "node").select(F.col("next").alias("node"), "component"), ["node"]))
+        done = kept(done.unionByName(found))
+        gone = found.select("node")
+        left = kept(left.join(gone.toDF("a"), "a", "left_anti").join(gone.toDF("b"), "b", "left_anti").select("a", "b"))
+
+
 def condensation(edges: DataFrame, components: DataFrame) -> DataFrame:
     """from_, to_, n, sources: edges between different components, with their number and the nodes they come from."""
     c = components.select("node", "component")
@@ -97,15 +178,18 @@ def condensation(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def layers(components: DataFrame, condensed: DataFrame) -> DataFrame:
-    """component, layer: 0 for those with no way out, else one more than the highest they lead to."""
+    """component, layer: 0 for those with no way out, else one more than the highest they lead to. An error if ``condensed``
+    has a cycle."""
     nodes = components.select("component").distinct()
     state = kept(nodes.withColumn("layer", F.lit(0)))
-    while True:
+    most = state.count()
+    for _ in range(most + 1):
         up = condensed.join(state.toDF("to_", "below"), "to_").groupBy(F.col("from_").alias("component")).agg((F.max("below") + 1).alias("up"))
         after = kept(state.join(up, "component", "left").select("component", F.col("layer").alias("old"), F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer")))
         state = after.select("component", "layer")
         if after.where("layer <> old").isEmpty():
             return state
+    raise ValueError("edges between components have a cycle")
 
 
 def shortest_paths(edges: DataFrame, root) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.graphs import weak_components
+from textloom.operators.metrics import cumulated
 
 ELIGIBLE = ("analyzer-confirmed", "safe-with-precondition", "risky-suggest", "llm-only")
 
@@ -104,7 +105,9 @@ def mutant_tally(outcomes: DataFrame) -> DataFrame:
 def budgeted(items: DataFrame, key: str, cost: str, budget: float, after=None) -> DataFrame:
     """The first items by key whose running cost fits, with the running cost; ``after`` resumes behind a key."""
     rows = items if after is None else items.where(F.col(key) > after)
-    return rows.withColumn("running", F.sum(cost).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("running") <= budget)
+    # costs are summed within ranges of the key, and the ranges before are added
+    placed = cumulated(rows, key, cost).withColumn("running", F.col("before") + F.col(cost))
+    return placed.where(F.col("running") <= budget).drop("before", "count")
 
 
 def statuses(files: DataFrame, by: str) -> DataFrame:

@@ -7,6 +7,7 @@ lines, baselines, caches) stay distributed.
 import difflib
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,9 +67,13 @@ def derived_edit(before: pd.Series, after: pd.Series) -> pd.DataFrame:
     """The smallest single replacement that turns one text into the other, by common prefix and suffix."""
 
     def one(a: str, b: str) -> tuple[int, int, str]:
-        n = min(len(a), len(b))
-        p = next((k for k in range(n) if a[k] != b[k]), n)
-        s = next((k for k in range(n - p) if a[-1 - k] != b[-1 - k]), n - p)
+        x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+        n = min(len(x), len(y))
+        differ = np.flatnonzero(x[:n] != y[:n])
+        p = int(differ[0]) if len(differ) else n
+        n -= p
+        differ = np.flatnonzero(x[len(x) - n :][::-1] != y[len(y) - n :][::-1])
+        s = int(differ[0]) if len(differ) else n
         return p, len(a) - s, b[p : len(b) - s]
 
     return pd.DataFrame([one(a or "", b or "") for a, b in zip(before, after, strict=True)], columns=["start", "end", "replacement"])
@@ -78,34 +83,50 @@ def derived_edit(before: pd.Series, after: pd.Series) -> pd.DataFrame:
 def fnv1a(text: pd.Series) -> pd.Series:
     """64-bit FNV-1a of the UTF-8 bytes, in hexadecimal."""
 
-    def one(t: str | None) -> str:
-        h = 0xCBF29CE484222325
-        for b in (t or "").encode():
-            h = (h ^ b) * 0x100000001B3 % (1 << 64)
-        return f"{h:016x}"
-
-    return text.map(one)
+    raw = [(t or "").encode() for t in text]
+    size = np.array([len(r) for r in raw], np.int64)
+    order = np.argsort(-size, kind="stable")
+    start = (np.cumsum(size) - size)[order]
+    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+    h = np.full(len(raw), 0xCBF29CE484222325, np.uint64)
+    longest = size[order]
+    for k in range(int(longest[0]) if len(raw) else 0):  # the k-th byte of all texts that have one
+        n = int(np.searchsorted(-longest, -k, "left"))
+        h[:n] = (h[:n] ^ data[start[:n] + k]) * np.uint64(0x100000001B3)
+    out = np.empty(len(raw), object)
+    out[order] = [f"{x:016x}" for x in h.tolist()]
+    return pd.Series(out, index=text.index)
+
+
+def _files(spark, path: str) -> tuple:
+    P = spark._jvm.org.apache.hadoop.fs.Path
+    return P, P(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
 def atomic_write(df: DataFrame, path: str) -> None:
-    """Write beside the target, then put it in place by renames, so readers see all of it or none; the old version is
-    kept as ``path.before`` for undoing."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    P = jvm.org.apache.hadoop.fs.Path
-    fs = P(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    fresh = f"{path}.{uuid.uuid4().hex}"
+    """Write beside the target, then put it in place by renames; the version before is kept as ``path.before`` for undoing.
+    A reader never finds half a table, though for a moment between the renames none; at any time one whole version
+    is there, at ``path`` or at ``path.before``, and ``undo`` puts the latter in place after a crash."""
+    P, fs = _files(df.sparkSession, path)
+    fresh, stale = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}"
     df.write.parquet(fresh)
-    fs.delete(P(path + ".before"), True)
     if fs.exists(P(path)):
+        if fs.exists(P(path + ".before")):
+            fs.rename(P(path + ".before"), P(stale))
         fs.rename(P(path), P(path + ".before"))
-    fs.rename(P(fresh), P(path))
+    if not fs.rename(P(fresh), P(path)):
+        raise OSError(f"{fresh} could not be moved to {path}")
+    fs.delete(P(stale), True)
 
 
 def undo(spark, path: str) -> bool:
     """Put the version before the last atomic write back."""
-    P = spark._jvm.org.apache.hadoop.fs.Path
-    fs = P(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    P, fs = _files(spark, path)
     if not fs.exists(P(path + ".before")):
         return False
-    fs.delete(P(path), True)
-    return bool(fs.rename(P(path + ".before"), P(path)))
+    gone = f"{path}.{uuid.uuid4().hex}"
+    if fs.exists(P(path)):
+        fs.rename(P(path), P(gone))
+    done = bool(fs.rename(P(path + ".before"), P(path)))
+    fs.delete(P(gone), True)
+    return done

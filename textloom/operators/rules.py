@@ -5,18 +5,74 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SAFETY = {
-    "safe-auto": "consecutive-blank-lines reimpl-not= reimpl-some? reimpl-boolean redundant-do",
-    "safe-with-precondition": "reimpl-empty? reimpl-seq reimpl-vec reimpl-isempty reimpl-eachindex useless-format py-none-comparison py-dict-keys-membership js-loose-equality js-var-declaration",
-    "risky-suggest": "reimpl-isnothing py-range-len py-list-comprehension-wrapper js-unnecessary-await redundant-closure let-and-return single-use-binding magic-number",
-    "llm-only": "needless-clone incompleteness long-method narrating-comment comment-block duplicate-block near-duplicate",
-    "analyzer-confirmed": "needless-return unused-arg unused-binding unused-private-def unused-namespace",
-    "report": "slop-score",
-    "never-auto": "missing-reference julia-jet config-key-unread config-key-unconsumed config-key-shadowed owner-moved-consumer-stale scope-collapse-after-refactor mechanism-live-gate-retired producer-verifier-schema-drift accepted-config-inert confidence-provenance-lost telemetry-not-bound-to-claim test-oracle-lag hot-path-work-duplicated operational-identity-stale adoption-chain-incomplete sibling-admission-gates-diverged owner-consumer-contract-split partition-boundary-not-preserved mechanism-gate-contract-split producer-verifier-schema-mismatch accepted-config-no-behavioral-reach confidence-derived-after-lossy-commit telemetry-claim-unbound test-contract-dimension-uncovered same-path-expensive-work-repeated published-identity-not-live contract-chain-incomplete sibling-admission-guards-asymmetric",
-}
-_MAJOR = {"incompleteness", "duplicate-block", "long-method", "missing-reference", "julia-jet"}
-_INFO = {"comment-block", "slop-score"}
-RULES: list[tuple[str, str, str]] = [(rule, safety, "major" if rule in _MAJOR else "info" if rule in _INFO else "minor") for safety, names in _SAFETY.items() for rule in names.split()]
+# fixed values: rule, safety class, severity
+RULES: list[tuple[str, str, str]] = [
+    ("consecutive-blank-lines", "safe-auto", "minor"),
+    ("reimpl-not=", "safe-auto", "minor"),
+    ("reimpl-some?", "safe-auto", "minor"),
+    ("reimpl-boolean", "safe-auto", "minor"),
+    ("redundant-do", "safe-auto", "minor"),
+    ("reimpl-empty?", "safe-with-precondition", "minor"),
+    ("reimpl-seq", "safe-with-precondition", "minor"),
+    ("reimpl-vec", "safe-with-precondition", "minor"),
+    ("reimpl-isempty", "safe-with-precondition", "minor"),
+    ("reimpl-eachindex", "safe-with-precondition", "minor"),
+    ("useless-format", "safe-with-precondition", "minor"),
+    ("py-none-comparison", "safe-with-precondition", "minor"),
+    ("py-dict-keys-membership", "safe-with-precondition", "minor"),
+    ("js-loose-equality", "safe-with-precondition", "minor"),
+    ("js-var-declaration", "safe-with-precondition", "minor"),
+    ("reimpl-isnothing", "risky-suggest", "minor"),
+    ("py-range-len", "risky-suggest", "minor"),
+    ("py-list-comprehension-wrapper", "risky-suggest", "minor"),
+    ("js-unnecessary-await", "risky-suggest", "minor"),
+    ("redundant-closure", "risky-suggest", "minor"),
+    ("let-and-return", "risky-suggest", "minor"),
+    ("single-use-binding", "risky-suggest", "minor"),
+    ("magic-number", "risky-suggest", "minor"),
+    ("needless-clone", "llm-only", "minor"),
+    ("incompleteness", "llm-only", "major"),
+    ("long-method", "llm-only", "major"),
+    ("narrating-comment", "llm-only", "minor"),
+    ("comment-block", "llm-only", "info"),
+    ("duplicate-block", "llm-only", "major"),
+    ("near-duplicate", "llm-only", "minor"),
+    ("needless-return", "analyzer-confirmed", "minor"),
+    ("unused-arg", "analyzer-confirmed", "minor"),
+    ("unused-binding", "analyzer-confirmed", "minor"),
+    ("unused-private-def", "analyzer-confirmed", "minor"),
+    ("unused-namespace", "analyzer-confirmed", "minor"),
+    ("slop-score", "report", "info"),
+    ("missing-reference", "never-auto", "major"),
+    ("julia-jet", "never-auto", "major"),
+    ("config-key-unread", "never-auto", "minor"),
+    ("config-key-unconsumed", "never-auto", "minor"),
+    ("config-key-shadowed", "never-auto", "minor"),
+    ("owner-moved-consumer-stale", "never-auto", "minor"),
+    ("scope-collapse-after-refactor", "never-auto", "minor"),
+    ("mechanism-live-gate-retired", "never-auto", "minor"),
+    ("producer-verifier-schema-drift", "never-auto", "minor"),
+    ("accepted-config-inert", "never-auto", "minor"),
+    ("confidence-provenance-lost", "never-auto", "minor"),
+    ("telemetry-not-bound-to-claim", "never-auto", "minor"),
+    ("test-oracle-lag", "never-auto", "minor"),
+    ("hot-path-work-duplicated", "never-auto", "minor"),
+    ("operational-identity-stale", "never-auto", "minor"),
+    ("adoption-chain-incomplete", "never-auto", "minor"),
+    ("sibling-admission-gates-diverged", "never-auto", "minor"),
+    ("owner-consumer-contract-split", "never-auto", "minor"),
+    ("partition-boundary-not-preserved", "never-auto", "minor"),
+    ("mechanism-gate-contract-split", "never-auto", "minor"),
+    ("producer-verifier-schema-mismatch", "never-auto", "minor"),
+    ("accepted-config-no-behavioral-reach", "never-auto", "minor"),
+    ("confidence-derived-after-lossy-commit", "never-auto", "minor"),
+    ("telemetry-claim-unbound", "never-auto", "minor"),
+    ("test-contract-dimension-uncovered", "never-auto", "minor"),
+    ("same-path-expensive-work-repeated", "never-auto", "minor"),
+    ("published-identity-not-live", "never-auto", "minor"),
+    ("contract-chain-incomplete", "never-auto", "minor"),
+    ("sibling-admission-guards-asymmetric", "never-auto", "minor"),
+]
 
 
 def suppressed(findings: DataFrame, rules: list[str], paths: list[str], by_rule: dict[str, list[str]]) -> DataFrame:

@@ -35,7 +35,7 @@ def _walks(spark, d):
 
     types = events.select("event_type").distinct().withColumn("k", F.row_number().over(Window.orderBy("event_type")).cast("long"))
     steps = metrics.transitions(events, "user_id", ["ts", "event_id"], "event_type").select("user_id", "src", "dst")
-    t = F.broadcast(types)
+    t = types
     steps = steps.join(t.toDF("src", "a"), "src").join(t.toDF("dst", "b"), "dst").select("user_id", F.col("a").alias("src"), F.col("b").alias("dst"))
     first = events.groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("event_type")).join(t, "event_type").select("user_id", F.lit(0).cast("long").alias("src"), F.col("k").alias("dst"))
     return steps.unionByName(first).distinct()

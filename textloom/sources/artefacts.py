@@ -78,6 +78,7 @@ def numstat(lines: DataFrame) -> DataFrame:
 
 
 #: What linters call their findings, and ours.
+# fixed values: rules that linters codes stand for
 LINTER_RULES = [("clj-kondo", "unused-binding", "unused-binding"), ("clj-kondo", "unused-private-var", "unused-private-def"), ("clj-kondo", "unused-namespace", "unused-namespace"), ("clippy", "clippy::needless_return", "needless-return"), ("clippy", "clippy::redundant_closure", "redundant-closure"), ("clippy", "clippy::let_and_return", "let-and-return"), ("staticlint", "UnusedFunctionArgument", "unused-arg"), ("staticlint", "UnusedBinding", "unused-binding"), ("staticlint", "MissingReference", "missing-reference"), ("jet", "*", "julia-jet")]
 LINTER = "file string, line long, code string, message string"
 

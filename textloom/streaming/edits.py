@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textloom.operators.graphs import reachable
+from textloom.sources.shared import home
 
 EDIT = "path string, version long, start long, end long, replacement string"
 
@@ -45,13 +46,7 @@ def applied_edits(edits: DataFrame) -> DataFrame:
 def collected(stream: DataFrame, mode: str = "append", key: str | None = None, version: str | None = None) -> DataFrame:
     """Run a stream over all that is there now into a Parquet folder and read it; exactly once, by its checkpoint."""
     spark = stream.sparkSession
-    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not home:
-        import tempfile
-
-        home = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", home)
-    base = f"{home.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{home(spark)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
