@@ -132,3 +132,29 @@ def test_bands_find_pairs_at_the_threshold():
     for t in ((70, 100), (80, 100), (85, 100), (95, 100)):
         bands, rows = neardup.bands_and_rows(t)
         assert bands * rows == neardup.REGISTERS and (1 - (t[0] / t[1]) ** rows) ** bands <= neardup.MISSED
+
+
+def test_hot_buckets_are_split_by_rare_shingles(spark, monkeypatch):
+    """Every bucket split, as those of a template that many fill in would be: the same links."""
+    monkeypatch.setattr(neardup, "MOST_COPIES", 0)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    template, rows = fixtures.prose(77, 90).split(), rows_with_groups()
+    for k in range(60):  # one template, of which a few are nearly the same
+        own = fixtures.prose(3000 + (k // 3 if k < 12 else k), 12).split()
+        words = template[:40] + own + template[40:]
+        words[k % 30] = f"x{k}" if k % 3 else words[k % 30]
+        rows.append((9000 + k, " ".join(words), "en", "s", 1))
+    out = neardup.grouped(spark.createDataFrame(rows, fixtures.DOCS))
+    assert sorted(map(tuple, out.collect()), key=str) == brute(rows)
+
+
+def test_linked_sets_share_a_rare_shingle():
+    draw = np.random.Generator(np.random.PCG64(5))
+    counts = draw.integers(0, 50, neardup.SLOTS)
+    for _ in range(300):
+        n = int(draw.integers(1, 60))
+        a = np.unique(draw.integers(0, 1 << 60, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[draw.random(len(a)) > 0.1], draw.integers(0, 1 << 60, int(draw.integers(0, 4)), dtype=np.uint64))))
+        for t in ((85, 100), (80, 100)):
+            if len(b) and neardup.linked(len(np.intersect1d(a, b)), len(a), len(b), t):
+                assert len(np.intersect1d(neardup.rare_first(a, counts, t), neardup.rare_first(b, counts, t)))

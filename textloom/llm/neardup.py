@@ -18,6 +18,12 @@ are compared by their registers, in blocks of about ``BLOCK`` by ``BLOCK`` membe
 get their texts, and likely pairs are confirmed in the block, so only members and links leave it, however many are nearly
 alike. Every candidate pair of a bucket is thus confirmed, discarded by its estimate, or within a component already.
 
+A bucket of so many members without links that blocks would copy each more than ``MOST_COPIES`` times, such as one
+template filled in by many, is split first by what its members have that others have not: shingles are put in the
+order of how many members have them (counted in ``SLOTS`` counters, which any total order may be made from), and a pair at
+the threshold must share one of the first ``n - ceil(threshold * n) + 1`` of both. Members that share such a rare shingle are
+compared as those of a bucket are. Nothing is lost by it, and what the template says is never looked at.
+
 Cases: a null, empty or blank text has an empty set, is linked with nothing and kept; fewer than five words are one
 shingle; rows of equal ids are one document as far as links go, and each keeps its row; a null id gets the smallest id
 of its component, or null, and is kept only then; empty tables give empty tables; other columns are ignored.
@@ -48,6 +54,10 @@ SHIFT = 40
 #: Pairs whose likeliest similarity is so many standard errors below the threshold are not confirmed.
 ERRORS = 4.75
 BLOCK = 256
+#: Block pairs that the members of a bucket are copied to, on average, before it is split by rare shingles.
+MOST_COPIES = 16
+#: Counters of shingles (8 bytes each), broadcast.
+SLOTS = 1 << 20
 #: Up to so many candidates' ids (8 bytes each) are broadcast to pick out their texts; beyond, texts are shuffled.
 MOST_BROADCAST = 1_000_000
 _GRID = np.linspace(0.0, 1.0, 101)
@@ -192,7 +202,8 @@ def _likely_in_block(table: pa.Table, threshold: tuple[int, int]) -> Iterator[tu
     for i in left.tolist():
         other = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (side[right] != 1))]
         other = other[np.minimum(n[other], n[i]) * threshold[1] >= np.maximum(n[other], n[i]) * threshold[0]]
-        other = other[_bands_shared(regs[other], regs[i], *bands_and_rows(threshold)) == band[i]]
+        if band[i] >= 0:  # else they share a rare shingle, whatever their bands
+            other = other[_bands_shared(regs[other], regs[i], *bands_and_rows(threshold)) == band[i]]
         if len(other):
             likely = estimated(np.repeat(regs[i][None], len(other), 0), regs[other], np.full(len(other), float(n[i])), n[other].astype(float)) >= least
             if likely.any():
@@ -256,14 +267,74 @@ def _star_links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, threshold:
     return links
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text -> slot, n: how many of a task's texts have shingles of each slot."""
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        data, offsets = kernels.buffers(batch.column("text"))
+        for low, high in kernels.slices(offsets):
+            at = offsets[low : high + 1]
+            found, _ = shingles(data[at[0] : at[-1]], at - at[0])
+            counts += np.bincount((found % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+    slots = np.flatnonzero(counts)
+    yield pa.record_batch([pa.array(slots), pa.array(counts[slots])], ["slot", "n"])
+
+
+def rare_first(found: np.ndarray, counts: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """Of a set's shingles, those of which two linked sets must share one: the first in the order of counts, then hashes."""
+    keep = len(found) - -(-len(found) * threshold[0] // threshold[1]) + 1
+    return found[np.lexsort((found, counts[(found % np.uint64(SLOTS)).astype(np.int64)]))[:keep]]
+
+
+def _rare(batches: Iterator[pa.RecordBatch], counts, threshold: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """id, component, text -> bucket, band, id, component: a bucket for each rare shingle."""
+    for batch in batches:
+        data, offsets = kernels.buffers(batch.column("text"))
+        for low, high in kernels.slices(offsets):
+            at = offsets[low : high + 1]
+            found, first = shingles(data[at[0] : at[-1]], at - at[0])
+            own = [rare_first(found[first[k] : first[k + 1]], counts.value, threshold) for k in range(high - low)]
+            row = pa.array(np.repeat(np.arange(low, high), [len(x) for x in own]))
+            keys = np.concatenate(own) if own else np.zeros(0, np.uint64)
+            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), -1, np.int32)), batch.column("id").take(row), batch.column("component").take(row)], ["bucket", "band", "id", "component"])
+
+
 def _cross_links(members: DataFrame, labels: DataFrame, sets: DataFrame, texts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Links between members of different components of a bucket. Its largest component is blocked apart from the rest,
-    as no two of its members need comparing: a row of it goes to as many block pairs as the rest has blocks."""
+    """Links between members of different components of a bucket."""
     labelled = members.join(labels, "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component"))
+    sized = saved(_sized(labelled, 3), "buckets")  # the one pair of a bucket of two has been compared
+    links = [_blocked(labelled, sized.where(F.col("copies") <= MOST_COPIES), sets, texts, threshold)]
+    hot = sized.where(F.col("copies") > MOST_COPIES).select("bucket")
+    if not hot.isEmpty():
+        ids = labelled.join(hot, "bucket", "left_semi").select("id", "component").distinct()
+        rows = saved(ids.join(texts, "id").select("id", "component", "text"), "hot")
+        found = rows.select("text").mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros(SLOTS, np.int64)
+        counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+        counts = rows.sparkSession.sparkContext.broadcast(counts)
+        rare = saved(rows.mapInArrow(lambda batches: _rare(batches, counts, threshold), "bucket long, band int, id long, component long").distinct(), "rare")
+        links.append(_blocked(rare, _sized(rare, 2), sets, texts, threshold))
+        dropped(rows, rare)
+        counts.destroy()
+    out = saved(links[0].union(links[1]).distinct(), "links") if len(links) > 1 else links[0]
+    dropped(sized, *(links if len(links) > 1 else []))
+    return out
+
+
+def _sized(labelled: DataFrame, least: int) -> DataFrame:
+    """bucket, big (its largest component), m and r (blocks of that one and of the rest), copies (block pairs that a member
+    goes to, on average) of the buckets of ``least`` members or more, and of more than one component."""
     counts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    bucket = counts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("big"), F.sum("n").alias("size"), F.count("*").alias("parts")).where("parts > 1 AND size > 2")
-    bucket = bucket.select("bucket", F.col("big.component").alias("big"), F.ceil(F.col("big.n") / BLOCK).cast("int").alias("m"), F.ceil((F.col("size") - F.col("big.n")) / BLOCK).cast("int").alias("r"))
-    rows = labelled.join(bucket, "bucket")
+    bucket = counts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("big"), F.sum("n").alias("size"), F.count("*").alias("parts")).where((F.col("parts") > 1) & (F.col("size") >= least))
+    m, r = F.ceil(F.col("big.n") / BLOCK).cast("int"), F.ceil((F.col("size") - F.col("big.n")) / BLOCK).cast("int")
+    rest = F.col("size") - F.col("big.n")
+    return bucket.select("bucket", F.col("big.component").alias("big"), m.alias("m"), r.alias("r"), ((F.col("big.n") * r + rest * (m + r)) / F.col("size")).alias("copies"))
+
+
+def _blocked(labelled: DataFrame, bucket: DataFrame, sets: DataFrame, texts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links between members (bucket, band, id, component) of the buckets given. A bucket's largest component is blocked apart from
+    the rest, as no two of its members need comparing: a row of it goes to as many block pairs as the rest has blocks."""
+    rows = labelled.join(bucket.select("bucket", "big", "m", "r"), "bucket")
     own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     cell = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
     count = lambda n: F.sequence(F.lit(0), n - 1)
