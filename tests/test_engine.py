@@ -131,6 +131,35 @@ def test_lowering():
         assert len(after[on]) > 1 and d != 1
 
 
+def test_regions_and_facts():
+    (name, g), = flow.functions(SOURCE)
+    after = g.after()
+    found = flow.structured(after, 0, 1)
+    loops = {head: points for kind, head, _, points in found if kind == "loop"}
+    assert sorted(loops) == sorted(min(c, key=lambda p: g.points[p][1]) for c in flow.cycles(flow.reach(0, after), after))
+    dom, post = flow.dominators(0, after), flow.dominators(1, flow.turned(after))
+    for kind, head, left, points in found:
+        assert all(head in dom[p] for p in points if kind != "root")
+        if kind == "branch" and left is not None:
+            assert left in post[head] and left not in points
+    facts = dict(flow.unstructured(g))
+    kinds = [k for k, _ in g.points]
+    assert facts[kinds.index("break")] == "break" and facts[kinds.index("continue")] == "continue" and facts[kinds.index("raise")] == "raise"
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_loops_of_random_graphs(seed):
+    """Points of natural loops are those that lead back to the head without passing it."""
+    after = random_graph(seed + 300)
+    after.setdefault(0, []).append(99)
+    reached, dom = flow.reach(0, after), flow.dominators(0, after)
+    for kind, head, _, points in flow.structured(after, 0, 99):
+        if kind == "loop":
+            ends = {a for a in reached if head in after.get(a, ()) and head in dom[a]}
+            without = {a: [b for b in many if b != head] for a, many in after.items()}
+            assert points == {head} | {p for p in reached if flow.reach(p, without) & ends and p != head}
+
+
 @pytest.mark.parametrize(("glob", "path", "ok"), [("**/*.py", "a/b/c.py", True), ("**/*.py", "c.py", True), ("*.py", "a/c.py", False), ("a/**", "a/b/c", True), ("{a,b}/?.js", "b/x.js", True), ("{a,b}/?.js", "c/x.js", False), ("a.b", "axb", False)])
 def test_globs(glob, path, ok):
     import re

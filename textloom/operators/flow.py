@@ -258,3 +258,96 @@ def owner_dominators(edges: DataFrame, owner: str, root: int, points: str = "lon
         return out.astype({"idom": "Int64"})
 
     return edges.groupBy(owner).applyInPandas(run, f"{owner} {kind}, point {points}, idom {points}, depth long")
+
+
+REGIONS = "path string, owner string, kind string, head long, leave long, points long, parent long"
+
+
+def structured(after: Edges, root: int, leave: int) -> list[tuple[str, int, int | None, set[int]]]:
+    """(kind, head, where it is left to, points) of the regions of a graph: a loop is a back edge's head with what reaches the
+    edge without passing the head; a branch is a point of several ways with what it dominates before they meet again."""
+    reached = reach(root, after)
+    dom, post = dominators(root, after), dominators(leave, turned(after))
+    meet = immediate(post)
+    before = turned(after)
+    loops: dict[int, set[int]] = {}
+    for a in reached:
+        for b in after.get(a, ()):
+            if b in dom[a]:
+                body, stack = loops.setdefault(b, {b}), [a]
+                while stack:
+                    x = stack.pop()
+                    if x not in body:
+                        body.add(x)
+                        stack += [p for p in before.get(x, ()) if p in reached]
+    out: list[tuple[str, int, int | None, set[int]]] = [("root", root, leave, set(reached))]
+    for head, body in sorted(loops.items()):
+        left = {b for x in body for b in after.get(x, ()) if b not in body}
+        out.append(("loop", head, left.pop() if len(left) == 1 else None, body))
+    for x in sorted(reached - set(loops)):
+        if len(after.get(x, ())) > 1:
+            end = meet.get(x)
+            inside, stack = {x}, [y for y in after[x] if y != end]
+            while stack:
+                y = stack.pop()
+                if y not in inside and y in reached and x in dom[y]:
+                    inside.add(y)
+                    stack += [z for z in after.get(y, ()) if z != end]
+            out.append(("branch", x, end, inside))
+    return out
+
+
+def control_regions(files: DataFrame) -> DataFrame:
+    """Regions of every Python function: kind, head, the point that it is left to (null where there are several), how many points, and
+    the head of the smallest region around."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for path, text in zip(group["path"], group["text"], strict=True):
+            for name, g in functions(text):
+                found = structured(g.after(), 0, 1)
+                for k, (kind, head, left, points) in enumerate(found):
+                    around = [(len(p), h) for j, (_, h, _, p) in enumerate(found) if j != k and points < p]
+                    rows.append((path, name, kind, head, left, len(points), min(around)[1] if around else None))
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in REGIONS.split(", ")])
+        return out.astype({"leave": "Int64", "parent": "Int64"})
+
+    return files.where("lang = 'python'").select("path", "text").groupBy("path").applyInPandas(run, REGIONS)
+
+
+FACTS = "path string, owner string, point long, fact string"
+
+
+def unstructured(g: Lowered) -> list[tuple[int, str]]:
+    """(point, fact) of what leaves the structure: breaks, continues, returns and raises before the end, points never
+    reached, loops left in several ways, entered past their head, or never left."""
+    after = g.after()
+    reached, dom = reach(0, after), dominators(0, after)
+    out = []
+    for p, (kind, _) in enumerate(g.points):
+        if p not in reached:
+            out.append((p, "unreached"))
+        elif kind in ("break", "continue", "raise"):
+            out.append((p, kind))
+        elif kind == "return" and p != max(reached):
+            out.append((p, "early return"))
+    for part in cycles(reached, after):
+        heads = {b for a in reached - part for b in after.get(a, ()) if b in part}
+        left = {b for a in part for b in after.get(a, ()) if b not in part}
+        if len(heads) > 1 or any(h not in dom[x] for h in heads for x in part):
+            out += [(h, "entered past its head") for h in sorted(heads)]
+        if len(left) > 1:
+            out.append((min(part), "left in several ways"))
+        if not left:
+            out.append((min(part), "never left"))
+    return sorted(set(out))
+
+
+def control_facts(files: DataFrame) -> DataFrame:
+    """``unstructured`` of every Python function."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        rows = [(path, name, p, fact) for path, text in zip(group["path"], group["text"], strict=True) for name, g in functions(text) for p, fact in unstructured(g)]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in FACTS.split(", ")])
+
+    return files.where("lang = 'python'").select("path", "text").groupBy("path").applyInPandas(run, FACTS)

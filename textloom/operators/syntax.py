@@ -273,3 +273,21 @@ def reanchored(before: DataFrame, after: DataFrame, edit: tuple[int, int, int])
 def tree_aggregate(nodes: DataFrame, value: Column, combine, name: str = "value") -> DataFrame:
     """path, region, ``name``: any aggregate (``combine`` of a column) over all nodes inside each region, nested regions included."""
     return nodes.select("path", F.explode("regions").alias("region"), value.alias("v")).groupBy("path", "region").agg(combine(F.col("v")).alias(name))
+
+
+# fixed values: what decorators tell of the code that they are on
+DECORATED = {"generated": "generated", "dataclass": "macro", "overload": "declaration only", "abstractmethod": "declaration only", "property": "accessor", "staticmethod": "plain", "classmethod": "plain"}
+
+
+def construct_policies(nodes: DataFrame) -> DataFrame:
+    """path, region, decorator, policy: how decorated regions are to be treated; unknown decorators make them opaque."""
+    table = nodes.sparkSession.createDataFrame(sorted(DECORATED.items()), "decorator string, policy string")
+    marks = nodes.where("field = 'decorator_list'").select("path", F.col("parent").alias("region"), F.regexp_extract(F.regexp_replace("text", r"\(.*$", ""), r"([A-Za-z_0-9]+)$", 1).alias("decorator"))
+    return marks.join(F.broadcast(table), "decorator", "left").select("path", "region", "decorator", F.coalesce("policy", F.lit("opaque")).alias("policy"))
+
+
+def region_owners(nodes: DataFrame) -> DataFrame:
+    """path, region, start_line, end_line: regions with the lines of their decorators, which are theirs."""
+    first = nodes.where("field = 'decorator_list'").groupBy("path", F.col("parent").alias("region")).agg(F.min("line").alias("first"))
+    own = nodes.where("node = owner").select("path", F.col("node").alias("region"), "line", "end_line")
+    return own.join(first, ["path", "region"], "left").select("path", "region", F.least("line", F.coalesce("first", "line")).alias("start_line"), "end_line")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import flow, metrics
 from textloom.plans.registry import query, table
-from textloom.sources import corpus
+from textloom.sources import corpus, programs
 
 
 
@@ -25,6 +25,26 @@ def _(spark, d):
     return flow.lowered_edges(corpus.files(spark), dependences=True)
 
 
+def _programs(spark, d):
+    return programs.programs(table(spark, d, "documents"), "doc_id")
+
+
+@query("control_regions")
+def _(spark, d):
+    return flow.control_regions(_programs(spark, d))
+
+
+@query("control_facts")
+def _(spark, d):
+    return flow.control_facts(_programs(spark, d).unionByName(corpus.modules(spark)))
+
+
+@query("program_points")
+def _(spark, d):
+    """Points with dominators, live names and reaching definitions of the functions of as many programs as there are documents."""
+    return flow.lowered_points(_programs(spark, d))
+
+
 _T = "s AS (SELECT user_id, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), ty AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS k FROM (SELECT DISTINCT event_type FROM events)), f AS (SELECT user_id, arg_min(event_type, struct_pack(ts := ts, id := event_id)) AS event_type FROM events GROUP BY user_id), ed AS (SELECT DISTINCT user_id, p.k AS src, q.k AS dst FROM s JOIN ty p ON p.event_type = src JOIN ty q ON q.event_type = dst WHERE dst IS NOT NULL UNION SELECT user_id, 0, k FROM f JOIN ty USING (event_type))"
 
 

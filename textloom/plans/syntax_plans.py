@@ -113,6 +113,17 @@ def _(spark, d):
     return syntax.tree_aggregate(small(spark), F.lit(1), F.count, "nodes")
 
 
+@query("construct_policies", f"""WITH {NODES}, t AS {literal_sql(sorted(syntax.DECORATED.items()), 'decorator, policy')}, m AS (SELECT path, parent AS region, name AS decorator FROM nd WHERE field = 'decorator_list')
+SELECT path, region, m.decorator, coalesce(policy, 'opaque') AS policy FROM m LEFT JOIN t USING (decorator)""")
+def _(spark, d):
+    return syntax.construct_policies(small(spark))
+
+
+@query("region_owners", f"WITH {NODES}, m AS (SELECT path, parent AS region, min(line) AS first FROM nd WHERE field = 'decorator_list' GROUP BY ALL) SELECT n.path, n.node AS region, least(n.line, coalesce(first, n.line)) AS start_line, n.end_line FROM nd n LEFT JOIN m ON m.path = n.path AND m.region = n.node WHERE n.node = n.owner")
+def _(spark, d):
+    return syntax.region_owners(small(spark))
+
+
 @query("call_and_base_resolution")
 def _(spark, d):
     return syntax.resolved_references(large(spark, d))

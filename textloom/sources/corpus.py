@@ -43,6 +43,7 @@ MODULES: list[tuple[str, str, str]] = [
     ("shop/rates.py", "python", "RATE = 2\n\n\ndef rate(n):\n    def inner(k):\n        return k + n + RATE\n\n    total = 0\n    for k in range(n):\n        while k > 3:\n            k = k - 1\n            if k == 2:\n                break\n        total += inner(k)\n    return total if total else (lambda q: q)(n)\n"),
     ("shop/cart.py", "python", "import shop.rates as rates\nfrom shop.base import Item\n\n\nclass Cart(Item):\n    def total(self, items):\n        out = [self.price(x, rate=rates.rate(x)) for x in items]\n        try:\n            return sum(out)\n        except TypeError as e:\n            print(e)\n        return Item.round(self, 0)\n"),
     ("tools/rates.py", "python", "def rate(n):\n    return n\n"),
+    ("tools/marks.py", "python", "from dataclasses import dataclass\nimport functools\n\n\n@dataclass\nclass Mark:\n    x: int = 0\n\n    @property\n    def double(self):\n        return self.x * 2\n\n    @functools.cache\n    def slow(self):\n        return self.x\n"),
     ("tools/use.py", "python", "import rates\nfrom shop import cart\n\nrates.rate(1)\nprint(cart.Cart().total([]))\n"),
 ]
 
