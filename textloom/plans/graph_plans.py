@@ -178,3 +178,69 @@ def _(spark, d):
     best = found.groupBy("ref").agg(F.min("k").alias("k")).join(found, ["ref", "k"]).groupBy("ref").agg(F.count_distinct("target").alias("n"), F.min("target").alias("t"))
     n = F.coalesce("n", F.lit(0))
     return refs.join(best, "ref", "left").select("ref", n.alias("candidates"), F.when(n == 0, "unresolved").when(n == 1, "syntactic").otherwise("ambiguous").alias("confidence"), F.when(n == 1, F.col("t")).alias("target"))
+
+
+# Graphs of the tables: parties and parts of trade, whose edges grow with the orders.
+_TRADE = """e AS (SELECT 'c' || o_custkey AS a, 'o' || o_orderkey AS b FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem)"""
+
+
+def trade(spark, d):
+    """customer -> order -> part -> supplier."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    lines = table(spark, d, "lineitem")
+    edges = table(spark, d, "orders").select(name("c", "o_custkey").alias("a"), name("o", "o_orderkey").alias("b"))
+    return edges.unionByName(lines.select(name("o", "l_orderkey").alias("a"), name("p", "l_partkey").alias("b"))).unionByName(lines.select(name("p", "l_partkey").alias("a"), name("s", "l_suppkey").alias("b"))).distinct()
+
+
+@query("trade_reachability", f"WITH RECURSIVE {_TRADE}, r AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_nationkey = 7 UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT substr(node, 1, 1) AS kind, count(*) AS reached FROM r GROUP BY 1")
+def _(spark, d):
+    """What the customers of one nation have bought, and from whom."""
+    roots = table(spark, d, "customer").where("c_nationkey = 7").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+    return G.reachable(trade(spark, d), roots).groupBy(F.substring("node", 1, 1).alias("kind")).agg(F.count("*").alias("reached"))
+
+
+@query("trade_impact", f"WITH {_TRADE}, z AS (SELECT 'p' || p_partkey AS node FROM part WHERE p_size = 1), x AS (SELECT DISTINCT a AS node FROM e JOIN z ON e.b = z.node), y AS (SELECT DISTINCT a AS node FROM e JOIN x ON e.b = x.node) SELECT distance, count(*) AS n FROM (SELECT node, min(k) AS distance FROM (SELECT node, 0 AS k FROM z UNION ALL SELECT node, 1 FROM x UNION ALL SELECT node, 2 FROM y) GROUP BY node) GROUP BY distance")
+def _(spark, d):
+    """Orders and customers within two steps of the parts of one size, against the edges."""
+    roots = table(spark, d, "part").where("p_size = 1").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
+    return G.distances(trade(spark, d).toDF("b", "a"), roots, 2).groupBy("distance").agg(F.count("*").alias("n"))
+
+
+_PLACES = "e AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"
+
+
+def places(spark, d):
+    """customer -> nation -> region."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    return table(spark, d, "customer").select(name("c", "c_custkey").alias("a"), name("n", "c_nationkey").alias("b")).unionByName(table(spark, d, "nation").select(name("n", "n_nationkey").alias("a"), name("r", "n_regionkey").alias("b")))
+
+
+def _ends(edges):
+    return edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+
+
+@query("place_layers", f"WITH {_PLACES}, l AS (SELECT b AS node, 0 AS layer FROM e WHERE b LIKE 'r%' UNION SELECT a, 1 FROM e WHERE a LIKE 'n%' UNION SELECT a, 2 FROM e WHERE a LIKE 'c%') SELECT layer, count(DISTINCT node) AS n FROM l GROUP BY layer")
+def _(spark, d):
+    e = places(spark, d)
+    c = G.strong_components(_ends(e), e)
+    return G.layers(c, G.condensation(e, c)).groupBy("layer").agg(F.count("*").alias("n"))
+
+
+@query("place_components", f"WITH {_PLACES}, m AS (SELECT e.a AS node, coalesce(u.b, e.b) AS top FROM e LEFT JOIN e u ON u.a = e.b UNION SELECT b, b FROM e WHERE b LIKE 'r%') SELECT top AS region, count(*) AS n FROM m GROUP BY top")
+def _(spark, d):
+    """Weak components, named by their region, and their sizes."""
+    e = places(spark, d)
+    c = G.weak_components(_ends(e), e)
+    tops = c.where("node LIKE 'r%'").select(F.col("node").alias("region"), "component")
+    return c.join(tops, "component").groupBy("region").agg(F.count("*").alias("n"))
+
+
+_CYCLIC = "e AS (SELECT DISTINCT l_suppkey AS a, l_partkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS b FROM lineitem)"
+
+
+@query("supplier_cycles", f"WITH RECURSIVE {_CYCLIC}, r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), k AS (SELECT DISTINCT a AS node FROM e UNION SELECT b FROM e), c AS (SELECT k.node, least(k.node, coalesce(min(x.b), k.node)) AS component FROM k LEFT JOIN (SELECT x.a, x.b FROM r x JOIN r y ON y.a = x.b AND y.b = x.a) x ON x.a = k.node GROUP BY k.node) SELECT component, count(*) AS size FROM c GROUP BY component HAVING count(*) > 1")
+def _(spark, d):
+    """Components of more than one supplier in a graph of suppliers that cycles; SQL goes by closure, which is all pairs."""
+    most = table(spark, d, "supplier").agg(F.max("s_suppkey").alias("most"))
+    e = table(spark, d, "lineitem").crossJoin(F.broadcast(most)).select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % F.col("most") + 1).alias("b")).distinct()
+    return G.strong_components(_ends(e), e).where("cyclic").select("component", "size").distinct()
