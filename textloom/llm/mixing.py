@@ -72,7 +72,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most_epochs: int = MOST_EPOCH
     # a prefix keeps nulls apart from every name and the order of code points
     skey = F.when(F.col("source").isNotNull(), F.concat(F.lit("s"), F.col("source")))
     base = docs.select(F.coalesce(skey, F.lit("t")).alias("skey"), "doc_id", size.alias("size"), key.alias("key"), F.xxhash64("text").alias("tie"), F.conv(F.substring(key, 1, 3), 16, 10).cast("int").alias("bucket"), *([F.struct(*[named(c) for c in docs.columns]).alias("row")] if carry else []))
-    base = saved(base, "sizes")  # words are counted once
+    if not carry:
+        base = saved(base, "sizes")  # words are counted once; whole rows are not written a further time for that
     sums = base.groupBy("skey", "bucket").agg(F.sum("size").alias("n"))
     sources = targets(sums.groupBy("skey").agg(F.sum("n").alias("source_size")), weights, most_epochs, slopes)
     ahead = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
