@@ -256,12 +256,22 @@ def test_strong_components(spark, monkeypatch, small):
         assert got == brute_components(range(n), edges)
 
 
-def test_layers_of_a_cycle_fail(spark):
+@pytest.mark.parametrize("small", [50_000, 0])
+def test_layers(spark, monkeypatch, small):
     from textloom.operators import graphs
 
+    monkeypatch.setattr(graphs, "SMALL", small)
+    draw = random.Random(4)
+    edges = sorted({tuple(sorted(draw.sample(range(12), 2), reverse=True)) for _ in range(20)})
+    want = {}
+    for n in range(12):
+        want[n] = max((want[b] + 1 for a, b in edges if a == n), default=0)
+    nodes = spark.range(12).toDF("component")
+    got = {r.component: r.layer for r in graphs.layers(nodes, spark.createDataFrame(edges, "from_ long, to_ long")).collect()}
+    assert got == want
     two = spark.createDataFrame([(1, 2), (2, 1)], "from_ long, to_ long")
-    with pytest.raises(ValueError):
-        graphs.layers(spark.createDataFrame([(1,), (2,)], "component long"), two)
+    with pytest.raises(Exception, match="cycle"):
+        graphs.layers(nodes, two).collect()
 
 
 def test_long_chains_are_written_together(spark, monkeypatch):

@@ -181,17 +181,51 @@ def layers(components: DataFrame, condensed: DataFrame) -> DataFrame:
     """component, layer: 0 for those with no way out, else one more than the highest they lead to. An error if ``condensed``
     has a cycle."""
     nodes = components.select("component").distinct()
+    condensed = kept(condensed.select("from_", "to_"))
+    if condensed.limit(SMALL + 1).count() <= SMALL:
+        placed = _layers_of_small(condensed)
+        return nodes.join(placed, "component", "left").select("component", F.coalesce("layer", F.lit(0)).alias("layer"))
     state = kept(nodes.withColumn("layer", F.lit(0)))
     most = state.count()
     for _ in range(most + 1):
         up = condensed.join(state.toDF("to_", "below"), "to_").groupBy(F.col("from_").alias("component")).agg((F.max("below") + 1).alias("up"))
         after = kept(state.join(up, "component", "left").select("component", F.col("layer").alias("old"), F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer")))
+        dropped(state)
         state = after.select("component", "layer")
         if after.where("layer <> old").isEmpty():
             return state
     raise ValueError("edges between components have a cycle")
 
 
+def _layers_of_small(condensed: DataFrame) -> DataFrame:
+    """component, layer of the components with edges of a graph that fits in one task: those without a way out that is still
+    open are placed, one layer after another."""
+    kind = dict(condensed.dtypes)["from_"]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        into: dict = {}
+        open_: dict = {}
+        for a, b in set(zip(group["from_"], group["to_"], strict=True)):
+            into.setdefault(b, []).append(a)
+            open_[a] = open_.get(a, 0) + 1
+        front = [b for b in into if b not in open_]
+        layer = dict.fromkeys(front, 0)
+        while front:
+            nxt = []
+            for b in front:
+                for a in into.get(b, ()):
+                    open_[a] -= 1
+                    if not open_[a]:
+                        layer[a] = layer[b] + 1  # b is the last of its ways out to be placed, so the highest
+                        nxt.append(a)
+            front = nxt
+        if any(open_.values()):
+            raise ValueError("edges between components have a cycle")
+        return pd.DataFrame(list(layer.items()), columns=["component", "layer"])
+
+    return condensed.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, f"component {kind}, layer int")
+
+
 def shortest_paths(edges: DataFrame, root) -> DataFrame:
     """node, distance, path: shortest, and of those the first in order of its nodes."""
     e = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).distinct()
