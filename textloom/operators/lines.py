@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.sources.shared import spread
 
 # fixed values: (rule, language, pattern) of the rules that one line settles
 IDIOMS: list[tuple[str, str, str]] = [
@@ -155,6 +156,7 @@ def slop_scores(findings: DataFrame, nonblank: DataFrame, weights: DataFrame, ke
 def document_slop(docs: DataFrame, key: str, blocks: DataFrame, text: str = "text") -> DataFrame:
     """``slop_scores`` of prose, whose lines are looked at inside the row: unfinished lines, a number to name, and the
     duplicate blocks that ``blocks`` (key, blocks) counts. Only the last is joined; no line leaves its row."""
+    docs = spread(docs.select(key, text))
     lines = F.split(F.regexp_replace(text, "\n$", ""), "\n")
     stubs = F.when(F.col(text).rlike(X.STUB), F.size(F.filter(lines, lambda x: x.rlike(X.STUB)))).otherwise(0)
     number = F.col(text).rlike("[0-9]") & F.exists(lines, lambda x: x.rlike("[0-9]") & (F.size(X.magic_numbers(X.code_before_comment(x, F.lit("#")))) > 0))

@@ -10,6 +10,7 @@ from textloom.operators import lines as L
 from textloom.operators import metrics as M
 from textloom.plans.line_plans import MARKED, code_lines
 from textloom.plans.registry import literal_sql, query, table
+from textloom.sources.shared import spread
 
 WORD = "[A-Za-z0-9_]+"
 COUNTS = f"tk AS (SELECT doc_id, unnest(regexp_extract_all(text, '{WORD}')) AS token FROM documents), ct AS (SELECT doc_id, token, count(*) AS n FROM tk GROUP BY doc_id, token)"
@@ -17,7 +18,7 @@ INFO = f"{COUNTS}, e AS (SELECT doc_id, sum(n) AS tokens, count(*) AS vocabulary
 
 
 def word_counts(spark, d):
-    words = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))).alias("token"))
+    words = spread(table(spark, d, "documents").select("doc_id", "lang", "text")).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))).alias("token"))
     return words.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
@@ -63,7 +64,7 @@ def bigrams(spark, d):
     """Counts of (context, token), as 64-bit hashes, in each document: paired within the row, so without a window, and dealt
     by document once."""
     t = F.transform(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), lambda x: F.xxhash64(x))
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("region"), "lang", t.alias("ts")).where(F.size("ts") > 0).repartition("lang", "region")
+    rows = spread(table(spark, d, "documents").select("doc_id", "lang", "text")).select(F.col("doc_id").alias("region"), "lang", t.alias("ts")).where(F.size("ts") > 0).repartition("lang", "region")
     pairs = F.arrays_zip(F.concat(F.array(F.xxhash64(F.lit("<START>"))), F.slice("ts", 1, F.size("ts") - 1)).alias("ctx"), F.col("ts").alias("token"))
     return rows.select("lang", "region", F.explode(pairs).alias("p")).select("lang", "region", "p.ctx", "p.token").groupBy("lang", "region", "ctx", "token").agg(F.count("*").alias("n"))
 

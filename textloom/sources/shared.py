@@ -36,3 +36,9 @@ def dropped(*tables: DataFrame) -> None:
         for file in df.inputFiles()[:1]:
             folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
             folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as there are cores where its files make fewer, as a few small files do; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
