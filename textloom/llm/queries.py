@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import contamination, extraction, licenses, lines, mixing, neardup, quality, repetition, suffixes, warc
+from textloom.llm import bpe, contamination, extraction, licenses, lines, mixing, neardup, quality, repetition, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,12 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.grouped(_table(spark, sf_dir, "documents"), neardup.THRESHOLD)
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), carry=["doc_id"])
+    digests = [F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")]
+    return out.select(F.col("row")["doc_id"].alias("doc_id"), "n_tokens", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lines": op1_lines,
     "op2_quality": op2_quality,
@@ -73,5 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op10_neardup": op10_neardup,
     "op9_repetition": op9_repetition,
+    "op11_bpe": op11_bpe,
 }
 ORACLE_SQL: dict[str, str] = {"op1_lines": lines.ORACLE, "op3_contamination": contamination.ORACLE, "op9_repetition": repetition.oracle(), "op5_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE}

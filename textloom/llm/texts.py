@@ -19,10 +19,10 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def map_texts(docs: DataFrame, kernel: Callable[..., list], fields: str, carry: list[str] | None = None, text: str = "text", also: list[Column] | None = None) -> DataFrame:
+def map_texts(docs: DataFrame, kernel: Callable[..., list], fields: str, carry: list[str] | None = None, text: str = "text", also: list[Column] | None = None, most: int = kernels.SLICE_BYTES) -> DataFrame:
     """For each row: ``row``, a struct of the columns of ``carry`` (all by default), and the ``fields`` (a DDL string)
     that ``kernel`` makes of bytes, row offsets and Arrow arrays of the columns ``also``: a list of arrays, one value a
-    row. A null text is an empty one.
+    row. A null text is an empty one; a kernel gets rows of ``most`` bytes of text together, or one longer row.
     Names never clash, as a row's own columns stay inside the struct."""
     carry = docs.columns if carry is None else carry
     made = T.StructType.fromDDL(fields)
@@ -33,7 +33,7 @@ def map_texts(docs: DataFrame, kernel: Callable[..., list], fields: str, carry:
         for batch in batches:
             data, offsets = kernels.buffers(batch.column("text"))
             row = batch.column("row")
-            for low, high in kernels.slices(offsets):
+            for low, high in kernels.slices(offsets, most):
                 at = offsets[low : high + 1]
                 out = kernel(data[at[0] : at[-1]], at - at[0], *[c.slice(low, high - low) for c in batch.columns[2:]])
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out, types, strict=True)]
