@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, contamination, extraction, licenses, lines, mixing, neardup, quality, repetition, suffixes, warc
+from textloom.llm import bpe, contamination, extraction, licenses, lines, mixing, neardup, quality, ranking, repetition, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row")["doc_id"].alias("doc_id"), "n_tokens", *digests)
 
 
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lines": op1_lines,
     "op2_quality": op2_quality,
@@ -81,5 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_neardup": op10_neardup,
     "op9_repetition": op9_repetition,
     "op11_bpe": op11_bpe,
+    "op12_ranking": op12_ranking,
 }
-ORACLE_SQL: dict[str, str] = {"op1_lines": lines.ORACLE, "op3_contamination": contamination.ORACLE, "op9_repetition": repetition.oracle(), "op5_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_lines": lines.ORACLE, "op3_contamination": contamination.ORACLE, "op9_repetition": repetition.oracle(), "op5_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE, "op12_ranking": ranking.ORACLE}
