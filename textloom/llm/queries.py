@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, contamination, extraction, licenses, lines, mixing, neardup, quality, ranking, repetition, suffixes, warc
+from textloom.llm import bpe, codes, contamination, extraction, licenses, lines, mixing, neardup, quality, ranking, repetition, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lines": op1_lines,
     "op2_quality": op2_quality,
@@ -86,5 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repetition": op9_repetition,
     "op11_bpe": op11_bpe,
     "op12_ranking": op12_ranking,
+    "op13_codes": op13_codes,
 }
-ORACLE_SQL: dict[str, str] = {"op1_lines": lines.ORACLE, "op3_contamination": contamination.ORACLE, "op9_repetition": repetition.oracle(), "op5_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE, "op12_ranking": ranking.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_lines": lines.ORACLE, "op3_contamination": contamination.ORACLE, "op9_repetition": repetition.oracle(), "op5_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE, "op12_ranking": ranking.ORACLE, "op13_codes": codes.oracle()}
