@@ -42,7 +42,7 @@ _NEVER = 1 << 60
 KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 KNOWN_BYTES = [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
 #: Bytes of text that share a trie; one longer text is a trie of its own.
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 3 << 21
 
 
 class Merges:
@@ -289,12 +289,18 @@ class Codec:
         return data[keep], starts
 
 
-def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """flat[starts[i] : starts[i] + sizes[i]] for each i of ``at``, one after another."""
-    lengths = sizes[at]
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts[at] - (ends - lengths), lengths) + np.arange(total)]
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray, most: int = 1 << 17) -> np.ndarray:
+    """flat[starts[i] : starts[i] + sizes[i]] for each i of ``at``, one after another; ``most`` of them at a time."""
+    out = np.empty(int(sizes[at].sum()), flat.dtype)
+    done = 0
+    for low in range(0, len(at), most):
+        some = at[low : low + most]
+        lengths = sizes[some]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1])
+        out[done : done + total] = flat[np.repeat(starts[some] - (ends - lengths), lengths) + np.arange(total)]
+        done += total
+    return out
 
 
 @lru_cache(2)
