@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet to the shared folder and read
 again as the next one's documents. The last one returns the mix, a row for each document; ``run`` unfolds it to the
 training order, a row for each pass over a document.
+
+Cases: null and blank texts are rejected by the first stage, as is what scores low; repeated rows are near copies, of
+which one stays; empty tables give an empty result, an empty benchmark changes nothing;
+documents' other columns go with them, and those named like a column of the mix are renamed in the last stage.
 """
 
 from __future__ import annotations
@@ -43,9 +47,18 @@ def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def _mixed(docs: DataFrame, passes: bool) -> DataFrame:
+    """The documents that the mix takes with its columns; a document's own column of such a name gets ``_of_document``
+    (once more for each such name that it also has)."""
     mixed = mixing.mix(docs, carry=True, passes=passes).where(F.col("taken") > 0)
-    own = [F.col("row").getField(c).alias(c) for c in docs.columns]
-    added = [c for c in ("size", "source_size", "target", "taken", "position", "pass" if passes else "positions") if c not in docs.columns]
+    added = ["size", "source_size", "target", "taken", "position", "pass" if passes else "positions"]
+    taken = {c.lower() for c in added}
+    own = []
+    for c in docs.columns:
+        name = c
+        while name.lower() in taken:
+            name += "_of_document"
+        taken.add(name.lower())
+        own.append(F.col("row").getField(c).alias(name))
     return mixed.select(*own, *added)
 
 
