@@ -61,3 +61,18 @@ def test_run_unfolds_the_passes(spark, folder):
     assert len(rows) > len(stage) and sum(r.taken for r in rows) == sum(r.taken for r in stage.values())
     assert sorted((r.doc_id, r.position) for r in rows) == sorted((i, p) for i, r in stage.items() for p in r.positions)
     assert "pass" in pipeline.run(spark, folder).columns
+
+
+def test_columns_named_like_the_mix(spark, folder):
+    """A document's own columns of such names are kept under another name; the mix's are whole."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 100")
+    plain = {r.doc_id: (r.taken, r.positions) for r in pipeline.mixing_stage(spark, docs, folder).collect()}
+    odd = docs.selectExpr("*", "doc_id AS position", "'x' AS taken", "1 AS Target", "2 AS size", "3 AS `pass`", "4 AS positions", "5 AS source_size", "6 AS size_of_document")
+    rows = pipeline.mixing_stage(spark, odd, folder).collect()
+    assert {r.doc_id: (r.taken, r.positions) for r in rows} == plain
+    assert all((r.position_of_document, r.taken_of_document, r.Target_of_document) == (r.doc_id, "x", 1) for r in rows)
+    assert all((r.size_of_document_of_document if "size_of_document_of_document" in r else None) in (2, 6) for r in rows)
+    assert len({c.lower() for c in rows[0].__fields__}) == len(rows[0].__fields__)
+    order = pipeline.training_order(odd)
+    assert {"pass", "pass_of_document", "positions"} <= set(order.columns) and order.count() == sum(len(p) for _, p in plain.values())
