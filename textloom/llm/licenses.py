@@ -16,6 +16,9 @@ save nearly as much as the first one that is, the one with the fewest difference
 versions of one text differ by a few words. The winner's words, wherever one
 of its forms is, are taken out and the rest is judged again.
 
+*Declaring.* SPDX tags and names after one verb ("under MIT or Apache-2.0") have no wording; ``declarations`` reads them by
+their grammar, and what no block has at that place is added with a null ``saved``.
+
 Cases: null or empty texts and those without a run have no blocks; a block like a template that is confirmed as none has
 a null license; rows are judged one by one, so repeated rows and null ids change nothing; an empty table gives an empty
 table; other columns stay inside a struct.
@@ -34,7 +37,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from textloom.llm import kernels
+from textloom.llm import declarations, kernels
 from textloom.llm.license_texts import TEMPLATES
 from textloom.llm.texts import map_texts
 
@@ -246,14 +249,17 @@ def blocks_of(text: bytes) -> list[tuple[int, int, str]]:
 
 def _kernel(data: np.ndarray, offsets: np.ndarray) -> list:
     out = []
-    for blocks in _blocks(data, offsets):
+    for k, blocks in enumerate(_blocks(data, offsets)):
         found = []
         for first, last, block in blocks:
             licenses: tuple = judged(block)
             if not licenses and len(words := words_of(block)) >= UNSURE_WORDS and (saved := savings(" ".join(words).encode())[0][0]) >= UNSURE_SAVED:
                 licenses = ((None, saved, len(words)),)
             found += [{"first_line": first, "last_line": last, "license": name, "saved": round(saved, 6), "other_words": other} for name, saved, other in licenses]
-        out.append(found)
+        own = data[offsets[k] : offsets[k + 1]].tobytes()
+        more = [(line, name) for line, name in declarations.declared(own) if not any(x["license"] == name and x["first_line"] <= line <= x["last_line"] for x in found)]
+        found += [{"first_line": line, "last_line": line, "license": name, "saved": None, "other_words": 0} for line, name in dict.fromkeys(more)]
+        out.append(sorted(found, key=lambda x: x["first_line"]) if more else found)
     return [out]
 
 
