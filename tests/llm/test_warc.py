@@ -90,3 +90,15 @@ def test_archives_on_the_shared_folder(spark, tmp_path, monkeypatch):
         assert first["warc-target-uri"] == h["warc-refers-to-target-uri"] and first["warc-date"] == h["warc-refers-to-date"] and first["warc-payload-digest"] == h["warc-payload-digest"]
     kinds = {h["warc-target-uri"]: (h["warc-type"], b) for h, b in found if h["warc-type"] != "warcinfo"}
     assert kinds["dns:b"] == ("resource", odd[2][1]) and kinds["http://b/1"] == ("resource", odd[0][1]) and kinds["http://b/2"] == ("response", odd[1][1])
+
+
+def test_query_renames_no_file(spark, tmp_path):
+    """Archives are read back by the names that tasks gave them; a folder may hold files of both kinds of names."""
+    pages = spark.createDataFrame([(k, f"http://h/{k}", "x" * 120 if k < 3 else f"page {k}") for k in range(6)], "page_id long, url string, html string")
+    warc.write_arcs(pages, str(tmp_path / "arc"), rename=False)
+    assert not list((tmp_path / "arc").glob("*.arc.gz")) and list((tmp_path / "arc").glob("part-*.txt"))
+    assert warc.read_arcs(spark, str(tmp_path / "arc")).count() == 6
+    warc.convert_archives(spark, str(tmp_path / "arc"), str(tmp_path / "warc"), rename=False)
+    assert not list((tmp_path / "warc").glob("*.warc.gz"))
+    found = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_archives(spark, str(tmp_path / "warc")).collect()}
+    assert found == {0: ("response", None), 1: ("revisit", 0), 2: ("revisit", 0), 3: ("response", None), 4: ("response", None), 5: ("response", None)}

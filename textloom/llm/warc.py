@@ -7,7 +7,8 @@ rewritten, a type, and the SHA-256 of the payload; the version block becomes a `
 least ``least`` bytes become revisits of the one with the smallest id, with the identifier, address and date that they
 refer to; since that takes all records, the few digests that occur twice or more are found first.
 
-Files of both kinds go through Spark's writer and readers on the shared folder: a row is a whole file of about
+Files of both kinds go through Spark's writer and readers on the shared folder, under the names that Spark's tasks give
+them; to hand files over, ``rename=True`` gives them the endings of their kind, a rename a file by the driver. A row is a whole file of about
 ``ARCHIVE_BYTES`` (or a single longer record), in which each record is a gzip member of its own, so files can be read from
 any record, and what a task holds is bounded by that. Bodies are bytes of any kind.
 
@@ -168,10 +169,12 @@ def _files(values: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([value], pa.large_binary()).cast(pa.binary())], ["value"])
 
 
-def _written(files: DataFrame, path: str, ending: str) -> None:
-    """Write each row's bytes as one file under ``path``, named by its kind."""
+def _written(files: DataFrame, path: str, ending: str, rename: bool) -> None:
+    """Write each row's bytes as one file under ``path``; with ``rename``, named by its kind."""
     spark = files.sparkSession
     files.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+    if not rename:
+        return
     hadoop = spark._jvm.org.apache.hadoop.fs
     folder = hadoop.Path(path)
     system = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
@@ -207,10 +210,15 @@ def _arcs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
     yield from _files(files())
 
 
-def write_arcs(pages: DataFrame, path: str) -> None:
+def _contents(spark, path: str, ending: str) -> DataFrame:
+    """The bytes of each file under a path that was written here, by the name of its task or its kind."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "{part-*.txt,*" + ending + "}").load(path).where("length > 0").select("content")
+
+
+def write_arcs(pages: DataFrame, path: str, rename: bool = True) -> None:
     """Write the rows of ``pages`` (page_id, url, html) as ARC files under ``path``."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"))
-    _written(rows.mapInArrow(lambda batches, most=ARCHIVE_BYTES: _arcs(batches, most), "value binary"), path, ".arc.gz")
+    _written(rows.mapInArrow(lambda batches, most=ARCHIVE_BYTES: _arcs(batches, most), "value binary"), path, ".arc.gz", rename)
 
 
 _ARC = "page_id long, record_id string, url string, ip string, date string, type string, digest string, size long, origin string"
@@ -239,8 +247,7 @@ def _read_arcs(batches: Iterator[pa.RecordBatch], bodies: bool) -> Iterator[pa.R
 
 def read_arcs(spark, path: str, bodies: bool = False) -> DataFrame:
     """The records of all ARC files under a path, with their bodies if asked for."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arc.gz").load(path).where("length > 0").select("content")
-    return files.mapInArrow(lambda batches: _read_arcs(batches, bodies), _ARC + (", body binary" if bodies else ""))
+    return _contents(spark, path, ".arc.gz").mapInArrow(lambda batches: _read_arcs(batches, bodies), _ARC + (", body binary" if bodies else ""))
 
 
 def _warcs(batches: Iterator[pa.RecordBatch], head: bool, most: int) -> Iterator[pa.RecordBatch]:
@@ -262,7 +269,7 @@ def _warcs(batches: Iterator[pa.RecordBatch], head: bool, most: int) -> Iterator
     yield from _files(files())
 
 
-def convert_archives(spark, source: str, path: str, least: int = LEAST_BYTES, head: bool = True) -> None:
+def convert_archives(spark, source: str, path: str, least: int = LEAST_BYTES, head: bool = True, rename: bool = True) -> None:
     """Convert the ARC files under ``source`` to WARC files under ``path``; with ``head``, each begins with a warcinfo record."""
     light = read_arcs(spark, source).where(F.col("size") >= least)
     last = F.lit((1 << 63) - 1)
@@ -275,16 +282,16 @@ def convert_archives(spark, source: str, path: str, least: int = LEAST_BYTES, he
     joined = rows.withColumn("key", F.when(F.col("size") >= least, F.col("digest"))).join(known.withColumnRenamed("digest", "key"), "key", "left")
     refers = F.when(F.col("one.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("one.page_id")), F.struct("one.record_id", "one.url", "one.date"))
     joined = joined.select("url", "ip", "date", "type", "origin", "body", refers.alias("refers_to"))
-    _written(joined.mapInArrow(lambda batches, most=ARCHIVE_BYTES: _warcs(batches, head, most), "value binary"), path, ".warc.gz")
+    _written(joined.mapInArrow(lambda batches, most=ARCHIVE_BYTES: _warcs(batches, head, most), "value binary"), path, ".warc.gz", rename)
     dropped(twice)
 
 
-def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, head: bool = False) -> None:
+def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, head: bool = False, rename: bool = True) -> None:
     """Write ``pages`` as ARC files to the shared folder and convert these to WARC files under ``path``."""
     spark = pages.sparkSession
     source = fresh_path(spark, "arc")
-    write_arcs(pages, source)
-    convert_archives(spark, source, path, least, head)
+    write_arcs(pages, source, rename=False)
+    convert_archives(spark, source, path, least, head, rename)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +320,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, target_uri of all WARC records under a
     path; a revisit has the size and the page of the record that it refers to."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).where("length > 0").select("content")
+    files = _contents(spark, path, ".warc.gz")
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers string, record_id string, target_uri string"
     rows = saved(files.mapInArrow(_read, schema), "records")
     asked = rows.where("refers IS NOT NULL").select(F.col("refers").alias("record_id")).distinct()
@@ -328,7 +335,7 @@ def archived(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """Write ARC files into the shared folder, convert them to WARC files there, and read these back."""
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
-    write_archives(pages, path, least, head=True)
+    write_archives(pages, path, least, head=True, rename=False)
     return read_archives(spark, path)
 
 
