@@ -71,12 +71,15 @@ def surprisal(pairs: DataFrame) -> DataFrame:
 
 
 def robust_z(rows: DataFrame, group: list[str], value: str, least: int = 8) -> DataFrame:
-    """median, MAD and (x - median) / (1.4826 MAD) where a group has at least ``least`` rows and MAD is not 0."""
-    middle = rows.groupBy(*group).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.count(value).alias("peers"))
-    with_middle = rows.join(middle, group)
-    mad = with_middle.groupBy(*group).agg(F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5)).alias("mad"))
+    """median, MAD and (x - median) / (1.4826 MAD) where a group has at least ``least`` rows and MAD is not 0. A null is a group
+    of its own; rows without a value have no z; medians go by ranges, so no task holds a hot group's values."""
+    rows = rows.withColumn("_group", F.struct(*group))
+    middle = kept(group_quantiles(rows, ["_group"], value, [0.5]).toDF("_group", "peers", "median"))
+    with_middle = rows.join(middle, "_group", "left").withColumn("peers", F.coalesce("peers", F.lit(0)))
+    away = with_middle.select("_group", F.abs(F.col(value) - F.col("median")).alias("away"))
+    mad = group_quantiles(away, ["_group"], "away", [0.5]).drop("count").toDF("_group", "mad")
     z = F.when((F.col("peers") >= least) & (F.col("mad") > 1e-12), (F.col(value) - F.col("median")) / (1.4826 * F.col("mad")))
-    return with_middle.join(mad, group).withColumn("z", F.round(z, 6)).withColumn("excess", F.round(F.greatest(F.lit(0.0), z), 6))
+    return with_middle.join(mad, "_group", "left").withColumn("z", F.round(z, 6)).withColumn("excess", F.round(F.greatest(F.lit(0.0), z), 6)).drop("_group")
 
 
 def midrank_percentiles(rows: DataFrame, value: str, key: str) -> DataFrame:
@@ -86,31 +89,39 @@ def midrank_percentiles(rows: DataFrame, value: str, key: str) -> DataFrame:
     return rows.join(counts, value).select(key, value, F.round(pct, 6).alias("percentile"))
 
 
-def cumulated(counts: DataFrame, value: str, n: str) -> DataFrame:
-    """``counts`` (distinct values with their numbers) with ``before``, the number at smaller values, and ``count``, that of
-    all. Values are dealt over ranges, summed within each, and the sums of the ranges before are added; only those, one row a
-    range, meet in one task."""
-    ranges = kept(counts.repartitionByRange(F.col(value)).withColumn("range", F.spark_partition_id()))
-    w = Window.orderBy("range")
-    sums = ranges.groupBy("range").agg(F.sum(n).alias("s")).select("range", F.coalesce(F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("count"))
-    own = F.sum(n).over(Window.partitionBy("range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    return ranges.join(F.broadcast(sums), "range").select(*counts.columns, (F.col("base") + F.coalesce(own, F.lit(0))).alias("before"), "count")
+def cumulated(counts: DataFrame, value: str, n: str, group: str | None = None) -> DataFrame:
+    """``counts`` (values with their numbers) with ``before``, the number at smaller values, and ``count``, that of all; or, with
+    a column ``group`` that is never null (a struct may hold nulls), those of the row's group. Values are dealt over ranges,
+    summed within each, and the sums of the ranges before are added; of these there is a row for each range and group in it."""
+    by = [group] if group else []
+    ranges = kept(counts.repartitionByRange(*by, value).withColumn("range", F.spark_partition_id()))
+    w = Window.partitionBy(*by).orderBy("range")
+    sums = ranges.groupBy("range", *by).agg(F.sum(n).alias("s")).select("range", *by, F.coalesce(F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("count"))
+    own = F.sum(n).over(Window.partitionBy("range", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    return ranges.join(sums if group else F.broadcast(sums), ["range", *by]).select(*counts.columns, (F.col("base") + F.coalesce(own, F.lit(0))).alias("before"), "count")
+
+
+def group_quantiles(rows: DataFrame, group: list[str], value: str, at: list[float]) -> DataFrame:
+    """The group's columns, ``count`` of its values and its linear quantiles, named ``q`` and their place. Distinct values are
+    counted and cumulated over ranges of (group, value); no task holds a group, and only the two values about each quantile
+    are gathered. Nulls are no values, and a group without any has no row; a null in ``group`` is a group of its own."""
+    kinds = [F.col("_g").getField(c).alias(c) for c in group]
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.struct(*group).alias("_g"), F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n"))
+    counts = cumulated(counts, "x", "n", "_g")
+    place = [F.lit(q) * (F.col("count") - 1) for q in at]
+    inside = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
+    picks = [F.max(F.when(inside(f(p)), F.col("x"))).alias(f"{name}{j}") for j, p in enumerate(place) for name, f in (("low", F.floor), ("high", F.ceil))]
+    one = counts.groupBy("_g").agg(F.max("count").alias("count"), *picks)
+    part = lambda j: place[j] - F.floor(place[j])
+    return one.select(*kinds, "count", *[(F.col(f"low{j}") + (F.col(f"high{j}") - F.col(f"low{j}")) * part(j)).alias(f"q{j}") for j in range(len(at))])
 
 
 def quantiles(rows: DataFrame, columns: list[str], at: list[float]) -> DataFrame:
-    """One row: linear quantiles of each column, named ``column_q``. Distinct values are counted and cumulated over
-    ranges; no task holds them all, and only the two about each quantile are gathered."""
-    out = None
-    for c in columns:
-        counts = cumulated(rows.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("x")).agg(F.count("*").alias("n")), "x", "n")
-        place = [F.lit(q) * (F.col("count") - 1) for q in at]
-        inside = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
-        picks = [F.max(F.when(inside(f(p)), F.col("x"))).alias(f"{name}{j}") for j, p in enumerate(place) for name, f in (("low", F.floor), ("high", F.ceil))]
-        one = counts.agg(F.max("count").alias("count"), *picks)
-        part = lambda j: place[j] - F.floor(place[j])
-        row = one.select(*[(F.col(f"low{j}") + (F.col(f"high{j}") - F.col(f"low{j}")) * part(j)).alias(f"{c}_{q}") for j, q in enumerate(at)])
-        out = row if out is None else out.crossJoin(F.broadcast(row))
-    return out
+    """One row: linear quantiles of each column, named ``column_q``, of all columns in one pass: values go by (column, value)."""
+    pairs = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("pair")).select("pair.*")
+    found = group_quantiles(pairs, ["column"], "x", at)
+    picks = [F.max(F.when(F.col("column") == c, F.col(f"q{j}"))).alias(f"{c}_{q}") for c in columns for j, q in enumerate(at)]
+    return found.agg(*picks)
 
 
 def burden(rows: DataFrame) -> DataFrame:
@@ -146,10 +157,9 @@ def outliers(rows: DataFrame, key: str, value: str) -> DataFrame:
     ranked = midrank_percentiles(rows.select(key, value), value, key)
     z = (F.col(value) - F.col("mean")) / F.col("stddev")
     out = ranked.crossJoin(F.broadcast(d)).where("eligible").withColumn("z", F.round(z, 6)).where("z >= 1 AND percentile >= 0.9")
-    # the rank is the number of higher outliers, and the place among equal ones by key
-    counts = cumulated(out.groupBy(value).agg(F.count("*").alias("peers")), value, "peers").select(value, (F.col("count") - F.col("before") - F.col("peers")).alias("above"))
-    tied = F.row_number().over(Window.partitionBy(value).orderBy(key))
-    return out.join(counts, value).select(key, value, "z", "percentile", (F.col("above") + tied).cast("int").alias("rank"))
+    # higher values first, then by key: places over ranges of both, so equal values are no task of their own
+    placed = cumulated(out.select(key, value, "z", "percentile").withColumn("_at", F.struct((-F.col(value)).alias("down"), F.col(key).alias("key"))).withColumn("_one", F.lit(1)), "_at", "_one")
+    return placed.select(key, value, "z", "percentile", (F.col("before") + 1).cast("int").alias("rank"))
 
 
 def hotspots(rows: DataFrame, key: str, high: list[str], low: list[str], sigma: float = 2.0, tokens: str = "tokens") -> DataFrame:

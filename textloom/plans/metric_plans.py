@@ -89,7 +89,10 @@ def _(spark, d):
 
 @query("linear_quantiles", "SELECT lang, quantile_cont(n_chars, 0.25) AS p25, quantile_cont(n_chars, 0.5) AS p50, quantile_cont(n_chars, 0.9) AS p90, round(stddev_pop(n_chars), 6) AS deviation FROM documents GROUP BY lang")
 def _(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.percentile("n_chars", F.lit(0.25)).alias("p25"), F.percentile("n_chars", F.lit(0.5)).alias("p50"), F.percentile("n_chars", F.lit(0.9)).alias("p90"), F.round(F.stddev_pop("n_chars"), 6).alias("deviation"))
+    docs = table(spark, d, "documents").select(F.struct("lang").alias("g"), "lang", "n_chars")
+    deviation = docs.groupBy("g").agg(F.round(F.stddev_pop("n_chars"), 6).alias("deviation"))
+    found = M.group_quantiles(docs, ["lang"], "n_chars", [0.25, 0.5, 0.9]).toDF("lang", "count", "p25", "p50", "p90")
+    return deviation.join(found.withColumn("g", F.struct("lang")).drop("lang"), "g", "left").select("g.lang", "p25", "p50", "p90", "deviation")
 
 
 @query("peer_groups", "SELECT lower(lang || '/' || source || '/' || CASE WHEN n <= 15 THEN '0-15' WHEN n <= 31 THEN '16-31' WHEN n <= 63 THEN '32-63' WHEN n <= 127 THEN '64-127' ELSE '128+' END) AS peer, count(*) AS members FROM (SELECT lang, source, len(string_split(text, chr(10))) AS n FROM documents) GROUP BY 1")

@@ -39,6 +39,9 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over as many tasks as there are cores where its files make fewer, as a few small files do; else as it is."""
+    """``df`` over as many tasks as there are cores where its files make fewer, as a few small files do; else as it is. A frame
+    that holds a shuffle stays as it is too, as to count its tasks would run it."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
