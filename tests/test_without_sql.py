@@ -178,10 +178,10 @@ def test_cross_file_findings_of_the_corpus(spark):
 NAMED = {
     "adoption_chain_incomplete", "baseline_fingerprints", "cfg_edges", "cfg_points", "contract_extraction", "contract_roles", "cross_file_findings", "module_restructure", "program_dependences", "sarif_log",
     "streamed_windows", "unified_diff", "untested_dimensions",
-    # tests/test_sequences.py, tests/test_syntax.py, tests/test_records.py, tests/test_slice_queries.py, tests/test_constants.py and tests/test_engine.py hold what these apply
+    # tests/test_sequences.py, tests/test_syntax.py, tests/test_records.py, tests/test_slice_queries.py, tests/test_constants.py, tests/test_markup.py and tests/test_engine.py hold what these apply
     "in_file_duplicates", "call_and_base_resolution", "callable_summaries", "clone_repetition", "dependency_graph", "import_layers", "node_reanchoring", "parse_provenance", "subtree_fingerprints", "system_dependences",
     "deterministic_commit", "guard_facts", "masked_sources", "control_facts", "control_regions", "program_points",
-    "event_regions", "event_arms",
+    "event_regions", "event_arms", "page_clones", "page_fragments", "page_nodes",
 }
 
 
