@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from textloom.operators import nesting
 from textloom.sources import pages as P
-from textloom.sources.shared import spread
+from textloom.sources.shared import kept, spread
 
 #: A subtree of fewer nodes is no clone.
 LEAST_NODES = 4
@@ -142,7 +142,7 @@ def clones(pages: DataFrame, keys: list[str], html: str = "html", least: int = L
     groups = found.groupBy("digest", "check", "name", "nodes").agg(
         F.sum("held").alias("holders"), F.count("*").alias("pages"), first.alias("first"), one_above.alias("above")
     )
-    many = groups.where("holders >= 2")
+    many = kept(groups.where("holders >= 2"))
     larger = many.select(F.col("digest").alias("above"), F.col("holders").alias("holders above"))
-    kept = many.join(larger, (many["above"] == larger["above"]) & (many["holders"] == larger["holders above"]), "left_anti")
-    return kept.select("digest", "check", "name", "nodes", "holders", "pages", "first")
+    largest = many.join(larger, (many["above"] == larger["above"]) & (many["holders"] == larger["holders above"]), "left_anti")
+    return largest.select("digest", "check", "name", "nodes", "holders", "pages", "first")
