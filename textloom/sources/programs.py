@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 SCHEMA = "path string, lang string, text string"
 PACKAGES = 20
+#: Programs of a task: ids are so short that adaptive execution would take all of them for one.
+TASK_PROGRAMS = 2000
 
 
 def place(k: int) -> str:
@@ -50,4 +52,6 @@ def programs(ids: DataFrame, key: str) -> DataFrame:
             own = batch.column("id").to_pylist()
             yield pa.record_batch([pa.array([place(k) for k in own]), pa.array(["python"] * len(own)), pa.array([program(k) for k in own])], ["path", "lang", "text"])
 
-    return ids.select(F.col(key).cast("long").alias("id")).where("id >= 0").distinct().mapInArrow(run, SCHEMA)
+    own = ids.select(F.col(key).cast("long").alias("id")).where("id >= 0")
+    tasks = max(ids.sparkSession.sparkContext.defaultParallelism, -(-own.count() // TASK_PROGRAMS))
+    return own.repartition(tasks, "id").distinct().mapInArrow(run, SCHEMA)

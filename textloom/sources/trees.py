@@ -21,6 +21,8 @@ SCHEMA = (
 )
 #: Longer expressions have no text of their own.
 MOST_TEXT = 200
+#: Rows of a batch, about: one for each text would cost more than its rows.
+BATCH_ROWS = 4096
 
 
 def _kind(node: ast.AST, field: str, parent: ast.AST | None, source: bytes, start: int) -> str:
@@ -84,11 +86,16 @@ def nodes(files: DataFrame) -> DataFrame:
     schema = to_arrow_schema(T.StructType.fromDDL(SCHEMA))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lambda rows: pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        rows: list[tuple] = []
         for batch in batches:
             for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                rows = [(path, *r) for r in tree(text or "")]
-                if rows:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                rows += [(path, *r) for r in tree(text or "")]
+                if len(rows) >= BATCH_ROWS:
+                    yield of(rows)
+                    rows = []
+        if rows:
+            yield of(rows)
 
     return files.where("lang = 'python'").select("path", "text").mapInArrow(run, SCHEMA)
 
