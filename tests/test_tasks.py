@@ -22,3 +22,9 @@ def test_programs_are_made_by_as_many_tasks_as_there_are_cores(spark):
     made = programs.programs(spark.range(400).unionByName(spark.range(10)), "id")
     assert made.count() == 400
     assert made.select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism
+
+
+def test_functions_are_told_where_their_texts_are(spark):
+    for name in ("control_regions", "control_facts", "program_points"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan, name
