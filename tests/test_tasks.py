@@ -24,6 +24,19 @@ def test_programs_are_made_by_as_many_tasks_as_there_are_cores(spark):
     assert made.select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism
 
 
+def test_references_are_resolved_once_for_all_kinds_of_edges(spark):
+    from textloom.operators import syntax
+    from textloom.sources import trees
+
+    nodes = trees.nodes(programs.programs(spark.range(40), "id"))
+    edges = syntax.system_edges(nodes)
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 6
+    # what resolves to nothing is a gap, once for each call
+    calls = nodes.where("kind = 'Call'").join(nodes.where("field = 'func' AND text IS NOT NULL").select("path", F.col("parent").alias("node")), ["path", "node"]).count()
+    assert edges.where("kind IN ('call', 'gap')").select("path", "call").distinct().count() == calls
+
+
 def test_functions_are_told_where_their_texts_are(spark):
     for name in ("control_regions", "control_facts", "program_points"):
         plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()

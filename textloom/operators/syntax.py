@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.sources.shared import kept
+
 # fixed values: what kinds of Python nodes contribute, and their canonical roles
 BRANCHES = "If Elif For AsyncFor While ExceptHandler".split()
 NESTING = "If For AsyncFor While Try TryStar".split()
@@ -234,11 +236,13 @@ def system_edges(nodes: DataFrame) -> DataFrame:
     calls = nodes.where("kind = 'Call'").select("path", F.col("node").alias("call"), "scope")
     func = nodes.where("field = 'func'").select("path", F.col("parent").alias("call"), F.col("text").alias("label"))
     calls = calls.join(func, ["path", "call"])
-    refs = resolved_references(nodes).where("kind = 'call'").select("path", "scope", "label", F.col("target").alias("symbol"))
+    refs = resolved_references(nodes).where("kind = 'call' AND target IS NOT NULL").select("path", "scope", "label", F.col("target").alias("symbol"))
     functions = nodes.where("node = owner AND kind IN ('FunctionDef', 'AsyncFunctionDef')").select(F.concat_ws("::", "path", "scope").alias("symbol"), F.col("path").alias("to"), F.col("node").alias("region"))
     # a symbol defined twice has its last definition
     functions = functions.groupBy("symbol", "to").agg(F.max("region").alias("region"))
-    sites = calls.join(refs, ["path", "scope", "label"], "left").join(functions, "symbol", "left")
+    # resolved once and kept, as five sets of edges are made of it; what has no target is never joined by its null
+    found = refs.join(functions, "symbol").drop("symbol")
+    sites = kept(calls.join(found, ["path", "scope", "label"], "left"))
     gap = sites.where("region IS NULL").select("path", "call", F.lit("gap").alias("kind"), at("path", "call").alias("src"), F.lit(None).cast("string").alias("dst"))
     met = sites.where("region IS NOT NULL")
     call = met.select("path", "call", F.lit("call").alias("kind"), at("path", "call").alias("src"), at("to", "region").alias("dst"))
