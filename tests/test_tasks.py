@@ -41,3 +41,13 @@ def test_functions_are_told_where_their_texts_are(spark):
     for name in ("control_regions", "control_facts", "program_points"):
         plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan, name
+
+
+def test_whether_a_file_parses_is_told_without_its_nodes(spark):
+    from textloom.sources import trees
+
+    files = spark.createDataFrame([("a.py", "python", "x = 1\n"), ("b.py", "python", "def f(:"), ("c.py", "python", None), ("d.rs", "rust", "fn f() {}"), ("a.py", "python", "y = 2")], "path string, lang string, text string")
+    out = trees.provenance(files)
+    assert sorted(map(tuple, out.collect())) == [("a.py", "complete"), ("a.py", "complete"), ("b.py", "partial"), ("c.py", "complete"), ("d.rs", "unsupported")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1

@@ -6,7 +6,10 @@ The parser is the only step that is not relational; what is asked of trees is as
 from __future__ import annotations
 
 import ast
+import gc
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,55 +28,89 @@ MOST_TEXT = 200
 BATCH_ROWS = 4096
 
 
-def _kind(node: ast.AST, field: str, parent: ast.AST | None, source: bytes, start: int) -> str:
-    """The node's class; an ``if`` that continues another as ``elif`` is an Elif."""
-    if isinstance(node, ast.If) and field == "orelse" and isinstance(parent, ast.If) and source[start : start + 4] == b"elif":
-        return "Elif"
-    return type(node).__name__
+class _Facts(NamedTuple):
+    """What a class of nodes has, looked up once for each."""
+
+    kind: str
+    fields: tuple[str, ...]
+    names: tuple[str, ...]
+    placed: bool
+    ctx: bool
+    region: bool
+    named: bool
+    text: bool
+
+
+@lru_cache(None)
+def _facts(kind: type) -> _Facts | None:
+    """None for what has no row: values, operators and contexts."""
+    if not issubclass(kind, ast.AST) or issubclass(kind, (ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop)):
+        return None
+    named = issubclass(kind, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef))
+    names = tuple(f for f in ("name", "id", "arg", "attr") if f in kind._fields)
+    return _Facts(kind.__name__, kind._fields, names, "lineno" in kind._attributes, "ctx" in kind._fields, issubclass(kind, REGIONS), named, issubclass(kind, ast.expr))
 
 
 def _name(node: ast.AST) -> str | None:
-    for attribute in ("name", "id", "arg", "attr"):
-        found = getattr(node, attribute, None)
+    facts = _facts(type(node))
+    for attribute in facts.names:
+        found = getattr(node, attribute)
         if isinstance(found, str):
             return found
-    if isinstance(node, ast.ImportFrom):
+    if facts.kind == "ImportFrom":
         return "." * node.level + (node.module or "")
-    return repr(node.value) if isinstance(node, ast.Constant) else None
+    return repr(node.value) if facts.kind == "Constant" else None
 
 
-def tree(text: str) -> list[tuple]:
-    """The rows of one source, without its path; none where it does not parse."""
+def parsed(text: str) -> ast.Module | None:
+    """None where it does not parse."""
     try:
-        root = ast.parse(text)
+        return ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
+        return None
+
+
+def tree(text: str) -> list[tuple]:
+    """The rows of one source, without its path; none where it does not parse."""
+    root = parsed(text)
+    if root is None:
         return []
     source = text.encode()
     begins = [0]
     for line in source.splitlines(keepends=True):
         begins.append(begins[-1] + len(line))
     rows: list[tuple] = []
-    stack: list[tuple] = [(root, None, "", 0, None, (), (), "")]
+    stack: list[tuple] = [(root, _facts(type(root)), None, "", 0, None, (), (), "")]
     while stack:
-        node, parent, field, ordinal, over, regions, above, scope = stack.pop()
-        k = len(rows)
-        placed = hasattr(node, "lineno")
-        start = begins[node.lineno - 1] + node.col_offset if placed else 0 if over is None else rows[over][7]
-        end = begins[node.end_lineno - 1] + node.end_col_offset if placed else len(source) if over is None else start
-        line, last = (node.lineno, node.end_lineno) if placed else (1, len(begins) - 1) if over is None else (rows[over][9], rows[over][9])
-        kind, name = _kind(node, field, parent, source, start), _name(node)
-        if isinstance(node, REGIONS):
+        node, facts, parent, field, ordinal, over, regions, above, scope = stack.pop()
+        k, kind = len(rows), facts.kind
+        if facts.placed:
+            line, last = node.lineno, node.end_lineno
+            start, end = begins[line - 1] + node.col_offset, begins[last - 1] + node.end_col_offset
+        elif over is None:
+            start, end, line, last = 0, len(source), 1, len(begins) - 1
+        else:
+            start, line = rows[over][7], rows[over][9]
+            end, last = start, line
+        # an ``if`` that continues another as ``elif`` is an Elif
+        if kind == "If" and field == "orelse" and parent == "If" and source[start : start + 4] == b"elif":
+            kind = "Elif"
+        name = _name(node)
+        if facts.region:
             regions, above = (*regions, k), ()
-            own = name if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)) else f"<{line}>" if isinstance(node, ast.Lambda) else ""
+            own = name if facts.named else f"<{line}>" if kind == "Lambda" else ""
             scope = f"{scope}.{own}" if scope else own
-        ctx = type(node.ctx).__name__ if hasattr(node, "ctx") else None
-        body = source[start:end].decode() if isinstance(node, ast.expr) and end - start <= MOST_TEXT else None
-        rows.append((k, over, field, ordinal, kind, ctx, name, start, end, line, last, regions[-1], list(regions), list(above), scope, body))
-        children = []
-        for f, value in ast.iter_fields(node):
-            for j, child in enumerate(value if isinstance(value, list) else [value]):
-                if isinstance(child, ast.AST) and not isinstance(child, (ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop)):
-                    children.append((child, node, f, j, k, regions, (*above, kind), scope))
+        body = source[start:end].decode() if facts.text and end - start <= MOST_TEXT else None
+        rows.append((k, over, field, ordinal, kind, type(node.ctx).__name__ if facts.ctx else None, name, start, end, line, last, regions[-1], list(regions), list(above), scope, body))
+        inner, children = (*above, kind), []
+        for f in facts.fields:
+            value = getattr(node, f)
+            if type(value) is not list:
+                value = (value,)
+            for j, child in enumerate(value):
+                of = _facts(type(child))
+                if of is not None:
+                    children.append((child, of, facts.kind, f, j, k, regions, inner, scope))
         stack += reversed(children)
     return rows
 
@@ -88,22 +125,30 @@ def nodes(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = lambda rows: pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         rows: list[tuple] = []
-        for batch in batches:
-            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                rows += [(path, *r) for r in tree(text or "")]
-                if len(rows) >= BATCH_ROWS:
-                    yield of(rows)
-                    rows = []
-        if rows:
-            yield of(rows)
+        gc.disable()  # trees and rows hold no cycles, and looking for some takes as long as making them
+        try:
+            for batch in batches:
+                for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    rows += [(path, *r) for r in tree(text or "")]
+                    if len(rows) >= BATCH_ROWS:
+                        yield of(rows)
+                        rows = []
+            if rows:
+                yield of(rows)
+        finally:
+            gc.enable()
 
     return files.where("lang = 'python'").select("path", "text").mapInArrow(run, SCHEMA)
 
 
 def provenance(files: DataFrame) -> DataFrame:
-    """path, status (complete, partial, unsupported) and the line of the first error, null where there is none."""
-    from pyspark.sql import functions as F
+    """path and status (complete, partial, unsupported) of each file, told where its text is."""
+    names = ["path", "status"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            status = ["unsupported" if lang != "python" else "complete" if parsed(text or "") else "partial" for lang, text in rows]
+            yield pa.record_batch([batch.column("path"), pa.array(status, pa.string())], names)
 
-    parsed = nodes(files).where("parent IS NULL").select("path", F.lit(True).alias("parsed"))
-    status = F.when(F.col("lang") != "python", "unsupported").when(F.col("parsed"), "complete").otherwise("partial")
-    return files.select("path", "lang").join(parsed, "path", "left").select("path", status.alias("status"))
+    return files.select("path", "lang", "text").mapInArrow(run, "path string, status string")
