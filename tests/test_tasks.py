@@ -51,3 +51,15 @@ def test_whether_a_file_parses_is_told_without_its_nodes(spark):
     assert sorted(map(tuple, out.collect())) == [("a.py", "complete"), ("a.py", "complete"), ("b.py", "partial"), ("c.py", "complete"), ("d.rs", "unsupported")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_pairs_are_counted_by_as_many_tasks_as_lines_ask_for(spark, monkeypatch):
+    from textloom.plans import duplicate_plans
+
+    rows = sorted(map(tuple, catalogue.QUERIES["co_change_jaccard"](spark, "/root/testdata/sf0.001").collect()))
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    monkeypatch.setattr(duplicate_plans, "TASK_LINES", 100)
+    out = catalogue.QUERIES["co_change_jaccard"](spark, "/root/testdata/sf0.001")
+    dealt = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "RepartitionByExpression" in x]
+    assert len(dealt) >= 2 and all(str(-(-lines // 100)) in x for x in dealt)
+    assert sorted(map(tuple, out.collect())) == rows and rows
