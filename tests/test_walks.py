@@ -3,7 +3,10 @@
 import random
 from collections import Counter, defaultdict
 
-from textloom.operators import colours, maintenance
+import pytest
+
+from textloom.operators import colours, graphs, maintenance
+from textloom.plans.catalogue import QUERIES
 
 EDGES = "owner long, a long, b long"
 
@@ -68,6 +71,32 @@ def test_work_is_that_of_the_change(spark):
     assert [df.count() for df in maintenance.updated(none, empty, empty, empty)] == [0, 0, 0]
 
 
+@pytest.mark.parametrize("small", [2, 5])
+def test_large_owners_go_by_rounds(spark, monkeypatch, small):
+    """Owners on either side of what one task takes have the same states, losses and gains."""
+    edges = spark.createDataFrame([(o, k, k + d) for o in range(6) for k in range(o + 1) for d in (1, 2)], EDGES)
+    roots = spark.createDataFrame([(o, 0) for o in range(6)], "owner long, node long")
+    cut = spark.createDataFrame([(o, k, k + 1) for o in (1, 4, 5) for k in (0, o)], EDGES)
+    new = spark.createDataFrame([(o, 2, 50) for o in (2, 5)] + [(5, 50, 51)], EDGES)
+    got = []
+    for most in (graphs.SMALL, small):
+        monkeypatch.setattr(graphs, "SMALL", most)
+        state = maintenance.reached(edges, roots)
+        got.append([sorted(map(tuple, df.collect())) for df in (state, *maintenance.updated(state, edges, cut, new))])
+    assert got[0] == got[1] and all(got[0])
+
+
+def test_rounds_send_the_driver_little(spark):
+    """Walks of many steps are no rounds of jobs: each table is shuffled by owner once."""
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("maintenance", "")
+    try:
+        assert QUERIES["event_maintenance"](spark, "/root/testdata/sf0.001").count()
+        assert len(jobs.getJobIdsForGroup("maintenance")) < 120
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def plain_colours(nodes, edges):
     colour = dict(nodes)
     while True:
