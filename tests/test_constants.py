@@ -5,7 +5,7 @@ import math
 import random
 from collections import defaultdict
 
-from textloom.operators import constants
+from textloom.operators import constants, graphs
 from textloom.plans.catalogue import QUERIES
 
 EDGES = "owner long, src long, dst long, variable long, value long, holds boolean"
@@ -110,6 +110,23 @@ def test_against_a_worklist_and_random_runs(spark):
     assert statuses == {"open", "always", "dead", "unreached"}
 
 
+def test_large_owners_go_by_rounds(spark, monkeypatch):
+    """Owners on either side of what one task takes have the same facts."""
+    draw = random.Random(6)
+    programs = {k: program(draw) for k in range(12)}
+    edges = spark.createDataFrame([(k, *e) for k, (es, _, _) in programs.items() for e in sorted(es, key=str)], EDGES)
+    effects = spark.createDataFrame([(k, p, v, *e) for k, (_, fs, _) in programs.items() for p, f in fs.items() for v, e in f.items()], EFFECTS)
+    entries = spark.createDataFrame([(k, p) for k, (_, _, ps) in programs.items() for p in ps], ENTRIES)
+    got, jobs = [], []
+    for most in (graphs.SMALL, 20):
+        monkeypatch.setattr(graphs, "SMALL", most)
+        spark.sparkContext.setJobGroup(f"constants {most}", "")
+        got.append(sorted(map(str, constants.propagate(edges, effects, entries).collect())))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"constants {most}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got[0] == got[1] and jobs[0] < 40 < jobs[1]
+
+
 def test_odd_rows(spark):
     edges = spark.createDataFrame([(1, 0, 1, None, None, None), (1, 1, 2, 7, 1, True), (1, 1, 3, 7, 1, False), (1, 1, 4, 7, None, True), (None, 0, 1, None, None, None), (1, None, 1, None, None, None), (2, 0, 1, None, None, None)], EDGES)
     effects = spark.createDataFrame([(1, 0, 7, "constant", 1, None), (1, 1, 8, "constant", 1, None), (1, 1, 8, "constant", 2, None), (1, 1, 9, "odd", 1, None), (1, 0, 9, "constant", 4, None), (1, 1, 6, "copy", None, None)], EFFECTS)

@@ -9,7 +9,8 @@ The lattice is unknown, constant, varying. A state holds the points reached and
 reached and not known varies, so nothing is held for each pair of point and variable. Each round carries states over
 the edges that they leave open and meets them at the edges' ends. Rounds start from the entries alone and only ever open
 edges and lose constants, so they end, at the best facts that hold; they work on owners whose state still changes.
-A guard is judged after its point's own effect.
+A guard is judged after its point's own effect. Owners that fit in one task are worked on there, point by point as states
+change, with the same facts; larger ones go by rounds of joins (``owners``).
 
 Cases: rows without an owner or a point take no part; a guard without a value, or whose variable varies, is open both
 ways; a point with two unlike effects on a variable makes it vary; an effect of an unknown kind does too; rows that repeat
@@ -18,12 +19,15 @@ change nothing; an owner without entries has no states and unreached arms; empty
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.graphs import COMPACT
+from textloom.operators.owners import walked
 from textloom.sources.shared import dropped, kept
 
 _EDGE = ["owner", "src", "dst", "variable", "value", "holds"]
@@ -80,6 +84,52 @@ def propagate(edges: DataFrame, effects: DataFrame, entries: DataFrame) -> DataF
     edges = kept(edges.select(*_EDGE).where("owner IS NOT NULL AND src IS NOT NULL AND dst IS NOT NULL").distinct())
     effects = kept(_clean(effects))
     entries = kept(entries.select(*_AT).where("owner IS NOT NULL AND point IS NOT NULL").distinct())
+    kinds = {f.name: f.dataType for f in effects.schema}
+    fields = {"point": entries.schema["point"].dataType} | {k: kinds[k] for k in ("variable", "value")}
+    return walked({"edges": edges, "effects": effects, "entries": entries}, fields, _propagate, _propagate_rounds)
+
+
+def _alike(x, y) -> bool:
+    return x == y or x != x and y != y
+
+
+def _propagate(edges: list[dict], effects: list[dict], entries: list[dict]) -> Iterable[tuple]:
+    out, effect = defaultdict(list), defaultdict(list)
+    for x in edges:
+        out[x["src"]].append(x)
+    for x in effects:
+        effect[x["point"]].append(x)
+    start = {x["point"] for x in entries}
+    state: dict = {p: {} for p in start}
+    todo = deque(start)
+    while todo:
+        point = todo.popleft()
+        known = state[point]
+        after = dict(known)
+        for x in effect[point]:
+            after.pop(x["variable"], None)
+        for x in effect[point]:
+            if x["kind"] == "constant":
+                after[x["variable"]] = x["value"]
+            elif x["kind"] == "copy" and x["source"] in known:
+                after[x["variable"]] = known[x["source"]]
+        for x in out[point]:
+            sure = x["variable"] in after and x["value"] is not None and x["holds"] is not None
+            dst = x["dst"]
+            if dst in start or sure and _alike(after[x["variable"]], x["value"]) != x["holds"]:
+                continue
+            old = state.get(dst)
+            met = dict(after) if old is None else {k: v for k, v in old.items() if k in after and _alike(after[k], v)}
+            if old is None or len(met) < len(old):
+                state[dst] = met
+                todo.append(dst)
+    for point, known in state.items():
+        yield point, None, None
+        for variable, value in known.items():
+            yield point, variable, value
+
+
+def _propagate_rounds(edges: DataFrame, effects: DataFrame, entries: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType for f in effects.schema}
     state = kept(entries.select(*_AT, F.lit(None).cast(kinds["variable"]).alias("variable"), F.lit(None).cast(kinds["value"]).alias("value")))
     settled: list[DataFrame] = []
