@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from textloom.operators import regions, slicing
+from textloom.operators import owners, regions, slicing
 
 
 def reach(start, after, without=None):
@@ -152,3 +152,20 @@ def test_empty(spark):
     dep = spark.createDataFrame([], "owner long, src long, dst long, variable string")
     sliced = slicing.slices(dep, spark.createDataFrame([(1, 2)], "owner long, point long"))
     assert [tuple(r) for r in sliced.collect()] == [(1, 2, 2)] and slicing.independent_groups(sliced.limit(0)).count() == 0
+
+
+def test_large_owners_go_by_rounds(spark, monkeypatch):
+    """Owners on either side of what one task takes have the same classes and regions; in tasks there are no rounds of jobs."""
+    draw = random.Random(9)
+    rows = {(o, *e) for o in range(8) for e in [(0, 1), (1, 2), (2, 99)] + [(draw.randrange(6), draw.choice([1, 2, 3, 4, 5, 99])) for _ in range(2 + o)]}
+    edges = spark.createDataFrame(sorted(rows), "owner long, src long, dst long")
+    got, jobs = [], []
+    for most in (owners.graphs.SMALL, 9):
+        monkeypatch.setattr(owners.graphs, "SMALL", most)
+        spark.sparkContext.setJobGroup(f"regions {most}", "")
+        found = regions.regions(edges, 0, 99)
+        results = (regions.edge_classes(edges, 0, 99), found, regions.region_points(found, edges, 0, 99))
+        got.append([sorted(map(str, df.collect())) for df in results])
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"regions {most}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got[0] == got[1] and all(got[0]) and jobs[0] < 100 < jobs[1]

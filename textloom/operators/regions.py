@@ -6,8 +6,9 @@ across it, its brackets. Every edge outside the tree gets a random value of 64 b
 or of its brackets' values, which is that of all ends of such edges below it, as an edge with both ends below cancels
 out. Edges of one class have one value, others share one with a probability of about edges squared / 2 ** 64.
 
-Graphs of all owners are rows and go through each step together. Rounds grow with the depth of the deepest graph; what is
-written grows with the depths of points and the sizes of regions, summed.
+Graphs that fit in one task are walked there, so all of them take one shuffle by owner for the classes and one for the
+regions' points. Larger ones are rows that go through each step together, with the same results (``owners``): rounds grow with
+the depth of the deepest graph, and what is written with the depths of points and the sizes of regions, summed.
 
 Cases: edges without an owner or end, and points that are not on a way from entry to exit, are left out; edges that repeat
 are one; an owner without a way to its exit has no regions; empty tables give empty results.
@@ -15,10 +16,16 @@ are one; an owner without a way to its exit has no regions; empty tables give em
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterable
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.operators.graphs import fixpoint
+from textloom.operators.owners import walked
 from textloom.sources.shared import dropped, kept
 
 
@@ -32,6 +39,83 @@ def on_way(edges: DataFrame, entry, exit_) -> DataFrame:
     return e.join(both.withColumnRenamed("point", "src"), ["owner", "src"], "left_semi").join(both.withColumnRenamed("point", "dst"), ["owner", "dst"], "left_semi").select("owner", "src", "dst")
 
 
+def _reached(ahead: dict, root) -> set:
+    seen, front = {root}, [root]
+    while front:
+        for x in ahead.get(front.pop(), ()):
+            if x not in seen:
+                seen.add(x)
+                front.append(x)
+    return seen
+
+
+def _on_way(edges: list[dict], entry, exit_) -> list[dict]:
+    ahead, behind = defaultdict(list), defaultdict(list)
+    for x in edges:
+        ahead[x["src"]].append(x["dst"])
+        behind[x["dst"]].append(x["src"])
+    both = _reached(ahead, entry) & _reached(behind, exit_)
+    return [x for x in edges if x["src"] in both and x["dst"] in both]
+
+
+def _levels_of(start, steps: dict) -> dict:
+    """point: (level, up, edge), breadth first by the smallest edge from the level before, as in ``_levels``."""
+    found = {start: (0, start, None)}
+    front = [start]
+    while front:
+        new: dict = {}
+        for point in front:
+            for to, edge in steps.get(point, ()):
+                if to not in found and (to not in new or (edge, point) < new[to]):
+                    new[to] = (edge, point)
+        front = list(new)
+        found |= {to: (found[up][0] + 1, up, edge) for to, (edge, up) in new.items()}
+    return found
+
+
+def _classes(edges: list[dict], entry, exit_) -> Iterable[tuple]:
+    e = _on_way([x for x in edges if not x["closing"]], entry, exit_)
+    if not e:
+        return
+    steps, ahead = defaultdict(list), defaultdict(list)
+    for x in [*e, *(x for x in edges if x["closing"])]:
+        if x["src"] != x["dst"]:
+            steps[x["src"]].append((x["dst"], x["edge_id"]))
+            steps[x["dst"]].append((x["src"], x["edge_id"]))
+    for x in e:
+        ahead[x["src"]].append((x["dst"], x["edge_id"]))
+    tree = _levels_of(entry, steps)
+    of_tree = {edge: point for point, (_, _, edge) in tree.items()}
+    below = dict.fromkeys(tree, 0)
+    for x in edges:
+        if x["edge_id"] not in of_tree and x["src"] in tree and x["dst"] in tree and x["src"] != x["dst"]:
+            below[x["src"]] ^= x["value"]
+            below[x["dst"]] ^= x["value"]
+    for point in reversed(tree):  # levels rise in it
+        if tree[point][2] is not None:
+            below[tree[point][1]] ^= below[point]
+    levels = _levels_of(entry, ahead)
+    for x in e:
+        inner = of_tree.get(x["edge_id"])
+        yield x["src"], x["dst"], x["value"] if inner is None else below[inner], levels[x["src"]][0]
+
+
+def _points(marks: list[dict], edges: list[dict], entry, exit_) -> Iterable[tuple]:
+    ahead = defaultdict(list)
+    for x in _on_way(edges, entry, exit_):
+        ahead[x["src"]].append(x["dst"])
+    for m in marks:
+        seen, front = {m["point"]}, [m["point"]]
+        while front:
+            at = front.pop()
+            for to in ahead.get(at, ()):
+                if to not in seen and (at, to) != (m["exit_src"], m["exit_dst"]):
+                    seen.add(to)
+                    front.append(to)
+        for point in seen:
+            yield m["region"], point
+
+
 def _levels(start: DataFrame, steps: DataFrame) -> DataFrame:
     """Breadth first over ``steps`` (owner, point, next, edge): owner, point, level, up, edge of each point reached, by the
     smallest edge from the level before."""
@@ -54,6 +138,16 @@ def _levels(start: DataFrame, steps: DataFrame) -> DataFrame:
 def edge_classes(edges: DataFrame, entry, exit_, seed: int = 1) -> DataFrame:
     """owner, src, dst, class, level: the edges on a way from entry to exit, equal classes on the same cycles, and how many
     edges the shortest way from the entry to an edge has."""
+    e = edges.select("owner", "src", "dst").dropna().distinct().withColumn("closing", F.lit(False))
+    closing = e.select("owner").distinct().select("owner", F.lit(exit_).alias("src"), F.lit(entry).alias("dst"), F.lit(True).alias("closing"))
+    e = e.unionByName(closing).withColumn("edge_id", F.xxhash64("owner", "src", "dst", "closing"))
+    point, number = e.schema["src"].dataType, T.LongType()
+    rounds = lambda edges: _class_rounds(edges.where("NOT closing"), entry, exit_, seed)
+    tables = {"edges": e.withColumn("value", F.xxhash64("owner", "edge_id", F.lit(seed)))}
+    return walked(tables, {"src": point, "dst": point, "class": number, "level": T.IntegerType()}, partial(_classes, entry=entry, exit_=exit_), rounds)
+
+
+def _class_rounds(edges: DataFrame, entry, exit_, seed: int) -> DataFrame:
     e = on_way(edges, entry, exit_)
     closing = e.select("owner").distinct().select("owner", F.lit(exit_).alias("src"), F.lit(entry).alias("dst"))
     # an edge's number tells only itself from the owner's others
@@ -97,8 +191,15 @@ def regions(edges: DataFrame, entry, exit_) -> DataFrame:
 
 def region_points(found: DataFrame, edges: DataFrame, entry, exit_) -> DataFrame:
     """owner, region, point: what the entry edge leads to, on ways to the exit, before the exit edge is passed."""
+    marks = found.select("owner", "region", "exit_src", "exit_dst", F.col("entry_dst").alias("point"))
+    ways = edges.select("owner", "src", "dst").dropna().distinct().join(found.select("owner").distinct(), "owner", "left_semi")
+    fields = {"region": found.schema["region"].dataType, "point": found.schema["entry_dst"].dataType}
+    rounds = lambda marks, edges: _point_rounds(marks, edges, entry, exit_)
+    return walked({"marks": marks, "edges": ways}, fields, partial(_points, entry=entry, exit_=exit_), rounds)
+
+
+def _point_rounds(marks: DataFrame, edges: DataFrame, entry, exit_) -> DataFrame:
     e = kept(on_way(edges, entry, exit_).withColumnRenamed("src", "point"))
-    marks = kept(found.select("owner", "region", "exit_src", "exit_dst", F.col("entry_dst").alias("point")))
     step = lambda new: new.join(e, ["owner", "point"]).where("NOT (point = exit_src AND dst = exit_dst)").select("owner", "region", "exit_src", "exit_dst", F.col("dst").alias("point"))
     return fixpoint(marks, step, ["owner", "region", "point"]).select("owner", "region", "point")
 
