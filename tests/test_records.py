@@ -64,6 +64,12 @@ def test_guards(spark):
     assert out["c"].identifiers == ["minSize"] and out["e"].identifiers == [f"name_{k:03d}" for k in range(96)] and out["d"].features in (None, [])
 
 
+def test_guards_make_the_compact_text_once(spark):
+    df = records.guard_facts(spark.createDataFrame([("a", "x")], "path string, text string"), "path")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 4  # of the whole text, of lines, and two of windows
+
+
 def test_utf16(spark):
     text = "a😀é\nb😀c"
     from pyspark.sql import functions as F

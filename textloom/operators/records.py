@@ -81,8 +81,10 @@ def guard_facts(sources: DataFrame, key: str, text: str = "text") -> DataFrame:
     names = lambda c: F.filter(F.regexp_extract_all(c, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)(?!\s*\(|[A-Za-z0-9_])"), F.lit(1)), lambda t: t.rlike("_|[a-z][A-Z]"))
     compact = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
     predicates = F.filter(lines, lambda x: compact(x).rlike(r"&&|\|\||==|!=|<=|>=|>0|0<|isfinite\(|isnan\(|iszero\(|^if|^assert"))
-    c = compact(F.col("code"))
-    both = F.exists(line_windows(F.col("code")), lambda w: compact(w).rlike(r"==0|0==|iszero\(") & compact(w).rlike(r"isnan\("))
+    code = code.withColumn("compact of code", compact(F.col("code")))  # a column, so that it is made once
+    c = F.col("compact of code")
+    # what no whole text has, none of its windows has: most need not be cut into windows
+    both = F.when(c.contains("isnan(") & c.rlike(r"==0|0==|iszero\("), F.exists(line_windows(F.col("code")), lambda w: compact(w).rlike(r"==0|0==|iszero\(") & compact(w).rlike(r"isnan\(")))
     features = F.array_compact(F.array(
         F.when(c.contains("isfinite("), "finite"), F.when(c.contains("isnan("), "nan"), F.when(c.rlike(r"==0|0==|iszero\("), "zero"),
         F.when(c.rlike(r">0|0<"), "positive"), F.when(c.rlike(r"<=|>="), "bounded"), F.when(both, "nan-or-zero"),
