@@ -2,10 +2,12 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 from textloom.operators import markup, nesting
@@ -253,3 +255,25 @@ def test_cases(spark):
     assert [(r.name, r.nodes, r.holders, r.pages) for r in sorted(markup.clones(table, ["page_id"], "a.b").collect(), key=lambda r: r.nodes)] == [("li", 4, 6, 3), ("ul", 9, 3, 3)]
     for f in (markup.nodes, markup.fragments, markup.clones):
         assert f(table.limit(0), ["page_id"], "a.b").count() == 0
+
+
+def test_a_batch_is_never_strings_at_once():
+    """Slices take their own pages alone out of a batch, whatever its size, and leave none out."""
+    pages = [f"<p>{k}</p>" + "x" * (99_000 + k) for k in range(300)] + [None, "", "<b>" + "y" * (3 * P.SLICE), "<i>z</i>", None]
+    batch = pa.record_batch([pa.array(pages)], ["html"])
+    whole = sum(len(x or "") for x in pages)
+    tracemalloc.start()
+    places = [(low + int(p), name) for low, t in P.slices(batch, "html") for p, name in zip(t.page, t.name, strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert places == [(k, name) for k, x in enumerate(pages) if x for name in ([x[1], P.TEXT, P.TEXT] if x[1] == "p" else [x[1], P.TEXT])]
+    assert peak < whole * 0.75, (peak, whole)
+
+
+def test_both_kinds_of_fragments_take_one_pass(spark):
+    draw = random.Random(12)
+    table = spark.createDataFrame([(k, arms_page(draw)) for k in range(60)], "page_id long, html string").repartition(3)
+    both = markup.fragments(table, ["page_id"], values=None)
+    want = Counter((*r, exact) for exact in (True, False) for r in markup.fragments(table, ["page_id"], values=exact).collect())
+    assert Counter(map(tuple, both.collect())) == want and {r[-1] for r in want} == {True, False}
+    assert QUERIES["page_fragments"](spark, DATA)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1

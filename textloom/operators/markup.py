@@ -23,8 +23,8 @@ from textloom.sources.shared import kept, spread
 LEAST_NODES = 4
 
 
-def _mapped(pages: DataFrame, keys: list[str], html: str, ddl: str, rows: Callable[[P.Trees], tuple[np.ndarray, list]]) -> DataFrame:
-    """Keys beside what ``rows`` gives: the pages' numbers and the columns of ``ddl``."""
+def _mapped(pages: DataFrame, keys: list[str], html: str, ddl: str, *rows: Callable[[P.Trees], tuple[np.ndarray, list]]) -> DataFrame:
+    """Keys beside what each of ``rows`` gives: the pages' numbers and the columns of ``ddl``."""
     df = pages.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{html}`").alias("html of page"))
     out = T.StructType([*df.schema.fields[:-1], *T.StructType.fromDDL(ddl).fields])
     schema = to_arrow_schema(out)
@@ -32,8 +32,9 @@ def _mapped(pages: DataFrame, keys: list[str], html: str, ddl: str, rows: Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, trees in P.slices(batch, "html of page"):
-                page, columns = rows(trees)
-                if len(page):
+                for page, columns in (f(trees) for f in rows):
+                    if not len(page):
+                        continue
                     held = [batch.column(k).take(pa.array(low + page)) for k in keys]
                     yield pa.record_batch([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip([*held, *columns], schema, strict=True)], schema=schema)
 
@@ -105,15 +106,22 @@ def _fragments(t: P.Trees, values: bool) -> tuple[np.ndarray, list]:
     return t.page[head], [pa.array(number[up], mask=up < 0), number[head], t.name[head], arms, kind, parts, saved]
 
 
-def fragments(pages: DataFrame, keys: list[str], html: str = "html", values: bool = True) -> DataFrame:
+def fragments(pages: DataFrame, keys: list[str], html: str = "html", values: bool | None = True) -> DataFrame:
     """What the arms of a page share and could say once. Arms are two or more siblings in a row, elements of one name with
     something inside. Where all hold equal lists of subtrees the kind is ``equivalent-arms``; else ``common-prefix`` and ``common-suffix`` tell
     how many subtrees (``parts``) all begin or end with, the suffix within what the prefix leaves of the shortest. ``first`` is the first arm and
     ``saved`` the nodes that are said again. Common lengths come from hashes of runs of subtrees by halved lengths, between neighbours
     alone, and the least of them holds for all arms, so a list of any length costs no pairs. Without ``values`` subtrees are equal if
-    their elements are, whatever attributes and texts they have."""
+    their elements are, whatever attributes and texts they have. None gives both, from trees that are built once, and ``exact`` tells them apart."""
     ddl = "parent long, first long, name string, arms long, kind string, parts long, saved long"
-    return _mapped(pages, keys, html, ddl, lambda t: _fragments(t, values))
+    if values is not None:
+        return _mapped(pages, keys, html, ddl, lambda t: _fragments(t, values))
+
+    def told(t: P.Trees, exact: bool) -> tuple[np.ndarray, list]:
+        page, columns = _fragments(t, exact)
+        return page, [*columns, np.full(len(page), exact)]
+
+    return _mapped(pages, keys, html, f"{ddl}, exact boolean", lambda t: told(t, True), lambda t: told(t, False))
 
 
 def clones(pages: DataFrame, keys: list[str], html: str = "html", least: int = LEAST_NODES) -> DataFrame:

@@ -19,9 +19,7 @@ def _(spark, d):
 @query("page_fragments")
 def _(spark, d):
     """What sibling elements of a page begin or end with alike: with their attributes and texts (exact), and by elements alone."""
-    pages = table(spark, d, "pages")
-    exact = markup.fragments(pages, _KEYS).withColumn("exact", F.lit(True))
-    return exact.unionByName(markup.fragments(pages, _KEYS, values=False).withColumn("exact", F.lit(False)))
+    return markup.fragments(table(spark, d, "pages"), _KEYS, values=None)
 
 
 @query("page_clones")
