@@ -6,9 +6,12 @@ ancestors are arrays, subtrees are equality on a region's number, and resolution
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.sources import trees
 from textloom.sources.shared import kept
 
 # fixed values: what kinds of Python nodes contribute, and their canonical roles
@@ -274,6 +277,24 @@ def reanchored(before: DataFrame, after: DataFrame, edit: tuple[int, int, int])
     return joined.select("path", "node", "now", F.when(F.col("touched"), "edited").when(F.col("now").isNull(), "changed").otherwise("anchored").alias("state"))
 
 
+def reanchored_files(files: DataFrame, edit: tuple[int, int, int]) -> DataFrame:
+    """What ``reanchored`` gives of files (path, lang, text, after) that hold a text and what it is after the edit: both are
+    parsed and compared in one task, so no node is shuffled."""
+    start, end, length = edit
+    delta = length - (end - start)
+
+    def tell(path: str, text: str | None, after: str | None) -> Iterator[tuple]:
+        found: dict[tuple, int] = {}
+        for now, _, field, _, kind, _, name, s, e, *_, body in trees.tree(after or ""):
+            found.setdefault((kind, field, name, body, s, e), now)
+        for node, _, field, _, kind, _, name, s, e, *_, body in trees.tree(text or ""):
+            moved = 0 if e <= start else delta if s >= end else None
+            now = None if moved is None else found.get((kind, field, name, body, s + moved, e + moved))
+            yield path, node, now, "edited" if moved is None else "changed" if now is None else "anchored"
+
+    return trees.told(files, tell, "path string, node long, now long, state string", ("path", "text", "after"))
+
+
 def tree_aggregate(nodes: DataFrame, value: Column, combine, name: str = "value") -> DataFrame:
     """path, region, ``name``: any aggregate (``combine`` of a column) over all nodes inside each region, nested regions included."""
     return nodes.select("path", F.explode("regions").alias("region"), value.alias("v")).groupBy("path", "region").agg(combine(F.col("v")).alias(name))

@@ -165,8 +165,8 @@ def _(spark, d):
     """The programs before and after each imports one more module in its first line."""
     before = programs.programs(table(spark, d, "documents"), "doc_id")
     at = len("import os\n")
-    after = before.withColumn("text", F.concat(F.lit("import os, re\n"), F.substring("text", at + 1, 1 << 30)))
-    return syntax.reanchored(trees.nodes(before), trees.nodes(after), (at - 1, at - 1, len(", re")))
+    both = before.withColumn("after", F.concat(F.lit("import os, re\n"), F.substring("text", at + 1, 1 << 30)))
+    return syntax.reanchored_files(both, (at - 1, at - 1, len(", re")))
 
 
 @query("import_layers")

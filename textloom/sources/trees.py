@@ -7,9 +7,9 @@ from __future__ import annotations
 
 import ast
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from typing import NamedTuple
+from typing import NamedTuple, get_args
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +32,7 @@ class _Facts(NamedTuple):
     """What a class of nodes has, looked up once for each."""
 
     kind: str
-    fields: tuple[str, ...]
+    fields: tuple[str, ...]  # those that can hold nodes with rows
     names: tuple[str, ...]
     placed: bool
     ctx: bool
@@ -41,18 +41,30 @@ class _Facts(NamedTuple):
     text: bool
 
 
+#: What has no row, besides values.
+_ROWLESS = (ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop)
+
+
+def _holds(annotated) -> bool:
+    """Whether a field of a type (``ast.expr``, ``list[ast.stmt]``, ``ast.expr | None``) can hold nodes with rows."""
+    inner = get_args(annotated)
+    return any(map(_holds, inner)) if inner else isinstance(annotated, type) and issubclass(annotated, ast.AST) and not issubclass(annotated, _ROWLESS)
+
+
 @lru_cache(None)
 def _facts(kind: type) -> _Facts | None:
     """None for what has no row: values, operators and contexts."""
-    if not issubclass(kind, ast.AST) or issubclass(kind, (ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop)):
+    if not issubclass(kind, ast.AST) or issubclass(kind, _ROWLESS):
         return None
     named = issubclass(kind, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef))
     names = tuple(f for f in ("name", "id", "arg", "attr") if f in kind._fields)
-    return _Facts(kind.__name__, kind._fields, names, "lineno" in kind._attributes, "ctx" in kind._fields, issubclass(kind, REGIONS), named, issubclass(kind, ast.expr))
+    types = getattr(kind, "_field_types", {})
+    fields = tuple(f for f in kind._fields if f not in types or _holds(types[f]))
+    return _Facts(kind.__name__, fields, names, "lineno" in kind._attributes, "ctx" in kind._fields, issubclass(kind, REGIONS), named, issubclass(kind, ast.expr))
 
 
-def _name(node: ast.AST) -> str | None:
-    facts = _facts(type(node))
+def _name(node: ast.AST, facts: _Facts | None = None) -> str | None:
+    facts = facts or _facts(type(node))
     for attribute in facts.names:
         found = getattr(node, attribute)
         if isinstance(found, str):
@@ -76,6 +88,7 @@ def tree(text: str) -> list[tuple]:
     if root is None:
         return []
     source = text.encode()
+    plain = text.isascii()
     begins = [0]
     for line in source.splitlines(keepends=True):
         begins.append(begins[-1] + len(line))
@@ -83,8 +96,9 @@ def tree(text: str) -> list[tuple]:
     stack: list[tuple] = [(root, _facts(type(root)), None, "", 0, None, (), (), "")]
     while stack:
         node, facts, parent, field, ordinal, over, regions, above, scope = stack.pop()
-        k, kind = len(rows), facts.kind
-        if facts.placed:
+        kind, fields, names, placed, ctx, region, named, text_ = facts
+        k = len(rows)
+        if placed:
             line, last = node.lineno, node.end_lineno
             start, end = begins[line - 1] + node.col_offset, begins[last - 1] + node.end_col_offset
         elif over is None:
@@ -95,41 +109,49 @@ def tree(text: str) -> list[tuple]:
         # an ``if`` that continues another as ``elif`` is an Elif
         if kind == "If" and field == "orelse" and parent == "If" and source[start : start + 4] == b"elif":
             kind = "Elif"
-        name = _name(node)
-        if facts.region:
+        name = _name(node, facts)
+        if region:
             regions, above = (*regions, k), ()
-            own = name if facts.named else f"<{line}>" if kind == "Lambda" else ""
+            own = name if named else f"<{line}>" if kind == "Lambda" else ""
             scope = f"{scope}.{own}" if scope else own
-        body = source[start:end].decode() if facts.text and end - start <= MOST_TEXT else None
-        rows.append((k, over, field, ordinal, kind, type(node.ctx).__name__ if facts.ctx else None, name, start, end, line, last, regions[-1], list(regions), list(above), scope, body))
-        inner, children = (*above, kind), []
-        for f in facts.fields:
+        body = None
+        if text_ and end - start <= MOST_TEXT:
+            body = text[start:end] if plain else source[start:end].decode()
+        rows.append((k, over, field, ordinal, kind, type(node.ctx).__name__ if ctx else None, name, start, end, line, last, regions[-1], regions, above, scope, body))
+        if not fields:
+            continue
+        inner, parent, children = (*above, kind), facts.kind, []
+        for f in fields:
             value = getattr(node, f)
-            if type(value) is not list:
-                value = (value,)
-            for j, child in enumerate(value):
-                of = _facts(type(child))
+            if type(value) is list:
+                for j, child in enumerate(value):
+                    of = _facts(type(child))
+                    if of is not None:
+                        children.append((child, of, parent, f, j, k, regions, inner, scope))
+            elif value is not None:
+                of = _facts(type(value))
                 if of is not None:
-                    children.append((child, of, facts.kind, f, j, k, regions, inner, scope))
-        stack += reversed(children)
+                    children.append((value, of, parent, f, 0, k, regions, inner, scope))
+        children.reverse()
+        stack += children
     return rows
 
 
-def nodes(files: DataFrame) -> DataFrame:
-    """A row for each node of the Python sources in ``files`` (path, lang, text), parsed where the texts are."""
+def told(files: DataFrame, tell: Callable[..., Iterable[tuple]], schema: str, columns: tuple[str, ...] = ("path", "text")) -> DataFrame:
+    """The rows that ``tell`` gives of ``columns`` of each Python source in ``files``, told where the texts are: no tree leaves its task."""
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(T.StructType.fromDDL(SCHEMA))
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lambda rows: pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        of = lambda rows: pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
         rows: list[tuple] = []
         gc.disable()  # trees and rows hold no cycles, and looking for some takes as long as making them
         try:
             for batch in batches:
-                for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    rows += [(path, *r) for r in tree(text or "")]
+                for given in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                    rows += tell(*given)
                     if len(rows) >= BATCH_ROWS:
                         yield of(rows)
                         rows = []
@@ -138,7 +160,12 @@ def nodes(files: DataFrame) -> DataFrame:
         finally:
             gc.enable()
 
-    return files.where("lang = 'python'").select("path", "text").mapInArrow(run, SCHEMA)
+    return files.where("lang = 'python'").select(*columns).mapInArrow(run, schema)
+
+
+def nodes(files: DataFrame) -> DataFrame:
+    """A row for each node of the Python sources in ``files`` (path, lang, text), parsed where the texts are."""
+    return told(files, lambda path, text: [(path, *r) for r in tree(text or "")], SCHEMA)
 
 
 def provenance(files: DataFrame) -> DataFrame:
