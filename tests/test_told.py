@@ -38,3 +38,20 @@ def test_nodes_are_anchored_again_where_both_texts_are(spark):
         want = rows(syntax.reanchored(trees.nodes(before), trees.nodes(after), edit))
         assert rows(syntax.reanchored_files(before.withColumn("after", new), edit)) == want and {r[3] for r in want} >= {"anchored", "changed"}
     assert "Join" not in plan(spark, "node_reanchoring")
+
+
+def test_regions_are_fingerprinted_where_their_texts_are(spark):
+    nodes = trees.nodes(files(spark))
+    want = rows(syntax.fingerprints(nodes))
+    assert rows(syntax.fingerprints_of_files(files(spark))) == want and len({r[2] for r in want}) > 2
+    clones = rows(syntax.clone_kinds(syntax.fingerprints(nodes), syntax.regions(nodes)))
+    assert rows(syntax.clone_kinds_of_files(files(spark))) == clones and {r[3] for r in clones} == {"exact", "renamed"} and len({r[4] for r in clones}) > 2
+    # a number that looks like a name is no name
+    named = spark.createDataFrame([(f"{x}.py", "python", f"def f({x}):\n    return 1e999") for x in ("inf", "y")], programs.SCHEMA)
+    for prints in (syntax.fingerprints_of_files(named), syntax.fingerprints(trees.nodes(named))):
+        assert len({r.normal for r in prints.collect()}) == 1
+
+
+def test_no_node_of_a_fingerprint_is_shuffled_or_written(spark):
+    told = plan(spark, "subtree_fingerprints")
+    assert "Join" not in told and "Relation" in told and told.count("Aggregate") == 1  # of the ids

@@ -6,6 +6,8 @@ ancestors are arrays, subtrees are equality on a region's number, and resolution
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -166,20 +168,78 @@ def fingerprints(nodes: DataFrame) -> DataFrame:
     order = first.select("path", "region", "name", F.row_number().over(Window.partitionBy("path", "region").orderBy("first", "name")).alias("nth"))
     rows = inside.join(order, ["path", "region", "name"], "left")
     shape = F.concat_ws(":", (F.col("deep") - F.col("from")).cast("string"), F.col("low").cast("string"), "kind", "field")
-    one = F.struct("node", F.concat_ws("=", shape, "name").alias("e"), F.concat_ws("=", shape, F.coalesce(F.concat(F.lit("#"), F.col("nth").cast("string")), F.col("name"))).alias("n"))
+    one = F.struct("node", F.concat_ws("=", shape, "name").alias("e"), F.concat_ws("=", shape, F.coalesce(F.when(F.col("kind") != "Constant", F.concat(F.lit("#"), F.col("nth").cast("string"))), F.col("name"))).alias("n"))
     g = rows.groupBy("path", "region", "top").agg(F.array_sort(F.collect_list(one)).alias("xs"))
     digest = lambda c: F.sha2(F.array_join(F.col("xs").getField(c), "\n").cast("binary"), 256)
     return g.select("path", "region", F.col("top").alias("kind"), F.size("xs").cast("long").alias("nodes"), digest("e").alias("exact"), digest("n").alias("normal"))
 
 
+#: What members of clones are, in order of their names.
+_WHAT = ("declaration", "generated", "ordinary", "test")
+
+
+def _region_ends(rows: list[tuple]) -> dict[int, int]:
+    """For each region of a file's rows the number after its last node."""
+    ends, open_ = {}, []
+    for k, row in enumerate(rows):
+        around = row[12]
+        while open_ and (len(open_) > len(around) or open_[-1] != around[len(open_) - 1]):
+            ends[open_.pop()] = k
+        if around[-1] == k:
+            open_.append(k)
+    return ends | dict.fromkeys(open_, len(rows))
+
+
+def _prints(rows: list[tuple]) -> Iterator[tuple]:
+    """region, kind, nodes, exact, normal of each named region of a file's rows, as in ``fingerprints``."""
+    sha = lambda xs: hashlib.sha256("\n".join(xs).encode("utf-8", "surrogatepass")).hexdigest()
+    parts = [(len(row[12]), f":{len(row[13])}:{row[4]}:{row[2]}", row[6], row[4] == "Constant") for row in rows]
+    for region, end in sorted(_region_ends(rows).items()):
+        if rows[region][4] == "Module":
+            continue
+        top, nth, exact, normal = parts[region][0], {}, [], []
+        for deep, shape, name, constant in parts[region:end]:
+            shape = f"{deep - top}{shape}"
+            exact.append(shape if name is None else f"{shape}={name}")
+            normal.append(exact[-1] if name is None or constant else f"{shape}=#{nth.setdefault(name, len(nth) + 1)}")
+        yield region, rows[region][4], end - region, sha(exact), sha(normal)
+
+
+def fingerprints_of_files(files: DataFrame) -> DataFrame:
+    """What ``fingerprints`` gives of the nodes of files (path, lang, text), told where the texts are."""
+    tell = lambda path, text: [(path, *x) for x in _prints(trees.tree(text or ""))]
+    return trees.told(files, tell, "path string, region long, kind string, nodes long, exact string, normal string")
+
+
 def clone_kinds(prints: DataFrame, regions: DataFrame, least: int = 8) -> DataFrame:
     """normal, members, form (exact, renamed), kinds, review: regions that are one another's copies, what their members are (tests,
     generated, containers, ordinary), and whether all are ordinary, so that one should look at them."""
     test = F.col("name").rlike("^test_") | F.col("path").rlike(r"(^|/)tests?/")
     role = F.when(F.col("path").rlike(r"(^|/)generated/|_pb2\.py$"), "generated").when(test, "test").when(F.col("role") == "container", "declaration").otherwise("ordinary")
-    rows = prints.where(F.col("nodes") >= least).join(regions.select("path", "region", "name", "role"), ["path", "region"]).withColumn("what", role)
-    g = rows.groupBy("kind", "normal").agg(F.count("*").alias("members"), F.count_distinct("exact").alias("forms"), F.array_sort(F.collect_set("what")).alias("kinds")).where("members > 1")
-    return g.select("kind", "normal", "members", F.when(F.col("forms") == 1, "exact").otherwise("renamed").alias("form"), F.array_join("kinds", ",").alias("kinds"), (F.col("kinds") == F.array(F.lit("ordinary"))).alias("review"))
+    return _clones(prints.where(F.col("nodes") >= least).join(regions.select("path", "region", "name", "role"), ["path", "region"]).withColumn("what", role))
+
+
+def clone_kinds_of_files(files: DataFrame, least: int = 8) -> DataFrame:
+    """What ``clone_kinds`` gives of the regions of files (path, lang, text): digests leave a task once for each form, as
+    those that are equal are counted there before they are shuffled."""
+
+    def tell(path: str, text: str | None) -> Iterator[tuple]:
+        rows = trees.tree(text or "")
+        generated, tests = re.search(r"(^|/)generated/|_pb2\.py$", path), re.search(r"(^|/)tests?/", path)
+        for region, kind, nodes, exact, normal in _prints(rows):
+            if nodes >= least:
+                test = tests or (rows[region][6] or "").startswith("test_")
+                yield kind, normal, exact, "generated" if generated else "test" if test else "declaration" if kind == "ClassDef" else "ordinary"
+
+    return _clones(trees.told(files, tell, "kind string, normal string, exact string, what string"))
+
+
+def _clones(rows: DataFrame) -> DataFrame:
+    """The classes of regions (kind, normal, exact, what) of more than one member."""
+    flags = F.bit_or(sum(F.when(F.col("what") == w, 1 << k).otherwise(0) for k, w in enumerate(_WHAT)))
+    g = rows.groupBy("kind", "normal").agg(F.count("*").alias("members"), (F.min("exact") == F.max("exact")).alias("one"), flags.alias("flags")).where("members > 1")
+    kinds = F.concat_ws(",", *[F.when(F.col("flags").bitwiseAND(1 << k) != 0, w) for k, w in enumerate(_WHAT)])
+    return g.select("kind", "normal", "members", F.when(F.col("one"), "exact").otherwise("renamed").alias("form"), kinds.alias("kinds"), (kinds == "ordinary").alias("review"))
 
 
 def declarations(nodes: DataFrame) -> DataFrame:

@@ -19,9 +19,14 @@ def small(spark):
     return trees.nodes(corpus.modules(spark))
 
 
+def _programs(spark, d):
+    """As many programs as there are documents."""
+    return programs.programs(table(spark, d, "documents"), "doc_id")
+
+
 def large(spark, d):
     """The nodes of as many programs as there are documents, parsed once."""
-    return graphs.kept(trees.nodes(programs.programs(table(spark, d, "documents"), "doc_id")))
+    return graphs.kept(trees.nodes(_programs(spark, d)))
 
 
 @query("syntax_regions", f"WITH {NODES} SELECT path, node AS region, kind, name, scope, CASE kind WHEN 'Module' THEN 'file' WHEN 'ClassDef' THEN 'container' ELSE 'behavioral' END AS role, line AS start_line, end_line, end_line - line + 1 AS lines FROM nd WHERE node = owner")
@@ -136,7 +141,7 @@ def _(spark, d):
 
 @query("subtree_fingerprints")
 def _(spark, d):
-    return syntax.fingerprints(large(spark, d))
+    return syntax.fingerprints_of_files(_programs(spark, d))
 
 
 @query("clone_repetition")
@@ -157,13 +162,13 @@ def _(spark, d):
 
 @query("parse_provenance")
 def _(spark, d):
-    return trees.provenance(programs.programs(table(spark, d, "documents"), "doc_id").unionByName(corpus.files(spark)))
+    return trees.provenance(_programs(spark, d).unionByName(corpus.files(spark)))
 
 
 @query("node_reanchoring")
 def _(spark, d):
     """The programs before and after each imports one more module in its first line."""
-    before = programs.programs(table(spark, d, "documents"), "doc_id")
+    before = _programs(spark, d)
     at = len("import os\n")
     both = before.withColumn("after", F.concat(F.lit("import os, re\n"), F.substring("text", at + 1, 1 << 30)))
     return syntax.reanchored_files(both, (at - 1, at - 1, len(", re")))
