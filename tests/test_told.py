@@ -55,3 +55,4 @@ def test_regions_are_fingerprinted_where_their_texts_are(spark):
 def test_no_node_of_a_fingerprint_is_shuffled_or_written(spark):
     told = plan(spark, "subtree_fingerprints")
     assert "Join" not in told and "Relation" in told and told.count("Aggregate") == 1  # of the ids
+    assert "Join" not in plan(spark, "clone_repetition")

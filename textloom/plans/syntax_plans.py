@@ -146,8 +146,7 @@ def _(spark, d):
 
 @query("clone_repetition")
 def _(spark, d):
-    nodes = large(spark, d)
-    return syntax.clone_kinds(syntax.fingerprints(nodes), syntax.regions(nodes))
+    return syntax.clone_kinds_of_files(_programs(spark, d))
 
 
 @query("callable_summaries")
