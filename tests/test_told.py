@@ -1,8 +1,9 @@
 """What is told where texts are, against the same asked of tree rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import syntax
+from textloom.operators import resolution, syntax
 from textloom.plans import catalogue
 from textloom.sources import corpus, programs, trees
 
@@ -21,6 +22,11 @@ def files(spark):
     return odd.unionByName(programs.programs(spark.range(90, 110), "id")).unionByName(corpus.modules(spark))
 
 
+@pytest.fixture(scope="module")
+def nodes(spark):
+    return trees.nodes(files(spark).coalesce(4)).cache()
+
+
 def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
@@ -40,8 +46,7 @@ def test_nodes_are_anchored_again_where_both_texts_are(spark):
     assert "Join" not in plan(spark, "node_reanchoring")
 
 
-def test_regions_are_fingerprinted_where_their_texts_are(spark):
-    nodes = trees.nodes(files(spark))
+def test_regions_are_fingerprinted_where_their_texts_are(spark, nodes):
     want = rows(syntax.fingerprints(nodes))
     assert rows(syntax.fingerprints_of_files(files(spark))) == want and len({r[2] for r in want}) > 2
     clones = rows(syntax.clone_kinds(syntax.fingerprints(nodes), syntax.regions(nodes)))
@@ -56,3 +61,33 @@ def test_no_node_of_a_fingerprint_is_shuffled_or_written(spark):
     told = plan(spark, "subtree_fingerprints")
     assert "Join" not in told and "Relation" in told and told.count("Aggregate") == 1  # of the ids
     assert "Join" not in plan(spark, "clone_repetition")
+
+
+@pytest.mark.parametrize("most", [resolution.MOST_BROADCAST, 3])
+def test_references_are_resolved_as_those_of_nodes_are(spark, nodes, monkeypatch, most):
+    monkeypatch.setattr(resolution, "MOST_BROADCAST", most)
+    want = rows(syntax.resolved_references(nodes))
+    assert rows(resolution.references(files(spark))) == want
+    assert {(r[5], r[6]) for r in want} == {("resolved", 1), ("resolved", 2), ("resolved", 3), ("resolved", 4), ("ambiguous", 3), ("ambiguous", 4), ("external", 0)}
+
+
+def test_imports_and_the_dependency_graph_are_those_of_nodes(spark, nodes):
+    want = rows(syntax.resolved_imports(nodes))
+    assert rows(resolution.imports(files(spark))) == want and {r[3] for r in want} == {"resolved", "ambiguous", "external"}
+    assert rows(resolution.dependency_graph(files(spark))) == rows(syntax.dependency_graph(nodes))
+    alone = programs.programs(spark.range(90, 99), "id")  # nothing is resolved across its files but imports
+    assert rows(resolution.dependency_graph(alone)) == rows(syntax.dependency_graph(trees.nodes(alone)))
+
+
+@pytest.mark.parametrize("most", [resolution.MOST_BROADCAST, 3])
+def test_edges_of_systems_are_those_of_nodes(spark, nodes, monkeypatch, most):
+    monkeypatch.setattr(resolution, "MOST_BROADCAST", most)
+    want = rows(syntax.system_edges(nodes))
+    assert rows(resolution.system_edges(files(spark))) == want and {r[2] for r in want} == {"gap", "call", "parameter-in", "return"}
+    assert any(r[2] == "parameter-in" and r[3].split("#")[0] != r[4].split("#")[0] for r in want)
+
+
+def test_what_a_file_settles_meets_no_other_file(spark):
+    for name in ("call_and_base_resolution",):
+        told = plan(spark, name)
+        assert "regions" not in told and "explode" not in told, name  # no nodes, no scopes around them as rows

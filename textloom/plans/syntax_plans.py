@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.operators import graphs, syntax
+from textloom.operators import graphs, resolution, syntax
 from textloom.plans.registry import literal_sql, query, table
 from textloom.sources import corpus, programs, trees
 
@@ -131,7 +131,7 @@ def _(spark, d):
 
 @query("call_and_base_resolution")
 def _(spark, d):
-    return syntax.resolved_references(large(spark, d))
+    return resolution.references(_programs(spark, d))
 
 
 @query("dependency_graph")
