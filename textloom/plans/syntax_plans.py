@@ -156,7 +156,7 @@ def _(spark, d):
 
 @query("system_dependences")
 def _(spark, d):
-    return syntax.system_edges(large(spark, d))
+    return resolution.system_edges(_programs(spark, d))
 
 
 @query("parse_provenance")
