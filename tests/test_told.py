@@ -88,6 +88,6 @@ def test_edges_of_systems_are_those_of_nodes(spark, nodes, monkeypatch, most):
 
 
 def test_what_a_file_settles_meets_no_other_file(spark):
-    for name in ("call_and_base_resolution", "system_dependences"):
+    for name in ("call_and_base_resolution", "dependency_graph", "system_dependences"):
         told = plan(spark, name)
         assert "regions" not in told and "explode" not in told, name  # no nodes, no scopes around them as rows

@@ -136,7 +136,7 @@ def _(spark, d):
 
 @query("dependency_graph")
 def _(spark, d):
-    return syntax.dependency_graph(large(spark, d))
+    return resolution.dependency_graph(_programs(spark, d))
 
 
 @query("subtree_fingerprints")
