@@ -82,8 +82,8 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component (its smallest node), size, cyclic. A graph of ``SMALL`` edges at most is one task; a larger one is
-    coloured: nodes without a way in or out go at once, each other one takes the smallest node that reaches it, and what
-    reaches that node back within its colour is its component. No pairs are made; rounds grow with the longest path."""
+    coloured: trees that lead in or out go first, each other node takes the smallest one that reaches it, and what reaches that
+    node back within its colour is its component. No pairs are made; rounds grow with the longest path that is in no tree."""
     e = kept(edges.where("a <> b").select("a", "b").distinct())
     if e.limit(SMALL + 1).count() <= SMALL:
         found = _components_of_small(e)
@@ -143,13 +143,11 @@ def _coloured(edges: DataFrame) -> DataFrame:
     done = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
     left = edges
     while True:
-        while True:  # nodes without a way in or out are on no cycle
-            inner = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
-            inner = kept(inner)
-            n, had = inner.count(), left.count()
-            left = inner
-            if n == had:
-                break
+        had = None
+        while (n := left.count()) and n != had:  # trees that lead out or in are on no cycle
+            had = n
+            turned = _without_trees(_without_trees(left).select(F.col("b").alias("a"), F.col("a").alias("b")))
+            left = turned.select(F.col("b").alias("a"), F.col("a").alias("b"))
         if left.isEmpty():
             return done
         colour = kept(left.select(F.col("a").alias("node")).distinct().withColumn("colour", F.col("node")))
@@ -170,6 +168,31 @@ def _coloured(edges: DataFrame) -> DataFrame:
         left = kept(left.join(gone.toDF("a"), "a", "left_anti").join(gone.toDF("b"), "b", "left_anti").select("a", "b"))
 
 
+def _ends_of_chains(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """node, to, w of each node with one way out in ``edges`` (a, b, w; each a and b once): the first node on its way that has none or
+    several, and the sum of w up to there, by jumps that double; ``more`` where it has not come to one. And whether some have not,
+    as they lead into cycles."""
+    one = edges.groupBy("a").agg(F.count("*").alias("n"), F.max("b").alias("to"), F.max("w").alias("w")).where("n = 1")
+    state = kept(one.select(F.col("a").alias("node"), "to", "w", F.lit(True).alias("more")))
+    for _ in range(state.count().bit_length() + 1):
+        there = state.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("w").alias("further"))
+        after = state.join(there, "to", "left").select("node", F.coalesce("next", "to").alias("to"), (F.col("w") + F.coalesce("further", F.lit(0))).alias("w"), F.col("next").isNotNull().alias("more"))
+        after = kept(after)
+        dropped(state)
+        state = after
+        if state.where("more").isEmpty():
+            return state, False
+    return state, True
+
+
+def _without_trees(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) without the nodes that have no way out and those whose only way leads to such a node, however long it is."""
+    ends, _ = _ends_of_chains(edges.withColumn("w", F.lit(0)))
+    several = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select(F.col("a").alias("node"))
+    stay = several.unionByName(ends.where("more").select("node")).unionByName(ends.where("NOT more").join(several.select(F.col("node").alias("to")), "to", "left_semi").select("node"))
+    return kept(edges.join(stay.toDF("a"), "a", "left_semi").join(stay.toDF("b"), "b", "left_semi").select("a", "b"))
+
+
 def condensation(edges: DataFrame, components: DataFrame) -> DataFrame:
     """from_, to_, n, sources: edges between different components, with their number and the nodes they come from."""
     c = components.select("node", "component")
@@ -179,51 +202,72 @@ def condensation(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 def layers(components: DataFrame, condensed: DataFrame) -> DataFrame:
     """component, layer: 0 for those with no way out, else one more than the highest they lead to. An error if ``condensed``
-    has a cycle."""
+    has a cycle. A graph of ``SMALL`` edges at most is one task; of a larger one, nodes with one way out are left to the end of
+    their chain, in rounds that grow with the logarithm of its length, until what remains is small or has no such nodes. That goes
+    by rounds, which grow with its highest layer."""
     nodes = components.select("component").distinct()
-    condensed = kept(condensed.select("from_", "to_"))
-    if condensed.limit(SMALL + 1).count() <= SMALL:
-        placed = _layers_of_small(condensed)
-        return nodes.join(placed, "component", "left").select("component", F.coalesce("layer", F.lit(0)).alias("layer"))
-    state = kept(nodes.withColumn("layer", F.lit(0)))
-    most = state.count()
-    for _ in range(most + 1):
-        up = condensed.join(state.toDF("to_", "below"), "to_").groupBy(F.col("from_").alias("component")).agg((F.max("below") + 1).alias("up"))
+    edges = kept(condensed.select(F.col("from_").alias("a"), F.col("to_").alias("b")).distinct().withColumn("w", F.lit(1)))
+    chains = []
+    while edges.limit(SMALL + 1).count() > SMALL:
+        ends, endless = _ends_of_chains(edges)
+        if endless:
+            raise ValueError(_CYCLE)
+        if ends.isEmpty():
+            break
+        chains.append(ends)
+        rest = edges.join(ends.select(F.col("node").alias("a")), "a", "left_anti").join(ends.select(F.col("node").alias("b"), "to", F.col("w").alias("further")), "b", "left")
+        edges = kept(rest.select("a", F.coalesce("to", "b").alias("b"), (F.col("w") + F.coalesce("further", F.lit(0))).alias("w")).groupBy("a", "b").agg(F.max("w").alias("w")))
+    placed = _layers_of_small(edges) if edges.limit(SMALL + 1).count() <= SMALL else _layers_by_rounds(edges)
+    for ends in reversed(chains):
+        placed = kept(placed)
+        onto = ends.join(placed.select(F.col("component").alias("to"), "layer"), "to", "left").select(F.col("node").alias("component"), (F.col("w") + F.coalesce("layer", F.lit(0))).alias("layer"))
+        placed = placed.unionByName(onto)
+    return nodes.join(placed, "component", "left").select("component", F.coalesce("layer", F.lit(0)).cast("int").alias("layer"))
+
+
+_CYCLE = "edges between components have a cycle"
+
+
+def _layers_by_rounds(edges: DataFrame) -> DataFrame:
+    """component, layer of the nodes with edges (a, b, w): the greatest sum of w on a way, one step a round."""
+    state = kept(edges.select("a").union(edges.select("b")).distinct().select(F.col("a").alias("component"), F.lit(0).alias("layer")))
+    for _ in range(state.count() + 1):
+        up = edges.join(state.toDF("b", "below"), "b").groupBy(F.col("a").alias("component")).agg(F.max(F.col("below") + F.col("w")).alias("up"))
         after = kept(state.join(up, "component", "left").select("component", F.col("layer").alias("old"), F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer")))
         dropped(state)
         state = after.select("component", "layer")
         if after.where("layer <> old").isEmpty():
             return state
-    raise ValueError("edges between components have a cycle")
+    raise ValueError(_CYCLE)
 
 
-def _layers_of_small(condensed: DataFrame) -> DataFrame:
-    """component, layer of the components with edges of a graph that fits in one task: those without a way out that is still
-    open are placed, one layer after another."""
-    kind = dict(condensed.dtypes)["from_"]
+def _layers_of_small(edges: DataFrame) -> DataFrame:
+    """component, layer of the nodes with edges (a, b, w; each a and b once) of a graph that fits in one task: those without a way
+    out that is still open are placed, one after another."""
+    kind = dict(edges.dtypes)["a"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         into: dict = {}
         open_: dict = {}
-        for a, b in set(zip(group["from_"], group["to_"], strict=True)):
-            into.setdefault(b, []).append(a)
+        for a, b, w in zip(group["a"], group["b"], group["w"], strict=True):
+            into.setdefault(b, []).append((a, w))
             open_[a] = open_.get(a, 0) + 1
         front = [b for b in into if b not in open_]
         layer = dict.fromkeys(front, 0)
         while front:
             nxt = []
             for b in front:
-                for a in into.get(b, ()):
+                for a, w in into.get(b, ()):
                     open_[a] -= 1
+                    layer[a] = max(layer.get(a, 0), layer[b] + w)
                     if not open_[a]:
-                        layer[a] = layer[b] + 1  # b is the last of its ways out to be placed, so the highest
                         nxt.append(a)
             front = nxt
         if any(open_.values()):
-            raise ValueError("edges between components have a cycle")
+            raise ValueError(_CYCLE)
         return pd.DataFrame(list(layer.items()), columns=["component", "layer"])
 
-    return condensed.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, f"component {kind}, layer int")
+    return edges.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, f"component {kind}, layer int")
 
 
 def shortest_paths(edges: DataFrame, root) -> DataFrame:

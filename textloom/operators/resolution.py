@@ -185,9 +185,20 @@ def _resolved_imports(told: DataFrame) -> DataFrame:
     return asked.select("path", "label", F.when(F.col("k0") > 0, by(0)).otherwise(by(1)).alias("target"), outcome.alias("outcome"))
 
 
+def _imports_of(files: DataFrame) -> DataFrame:
+    return kept(trees.told(files, lambda path, text: _told_imports(Outline(path, trees.tree(text or ""))), _IMPORTS))
+
+
 def imports(files: DataFrame) -> DataFrame:
     """path, label, target (a path), outcome of each import."""
-    return _resolved_imports(kept(trees.told(files, lambda path, text: _told_imports(Outline(path, trees.tree(text or ""))), _IMPORTS)))
+    return _resolved_imports(_imports_of(files))
+
+
+def import_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The files that parse (node), and which of them imports which (a, b)."""
+    told = _imports_of(files)
+    edges = _resolved_imports(told).where("outcome = 'resolved'").select(F.col("path").alias("a"), F.col("target").alias("b")).distinct()
+    return told.where("what = 'module'").select(F.col("path").alias("node")).distinct(), edges
 
 
 def dependency_graph(files: DataFrame) -> DataFrame:

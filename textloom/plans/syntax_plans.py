@@ -175,7 +175,10 @@ def _(spark, d):
 
 @query("import_layers")
 def _(spark, d):
-    """Layers of the import graph's condensation, over all programs: which files can be read before which."""
-    g = syntax.resolved_imports(large(spark, d)).where("outcome = 'resolved'").select(F.col("path").alias("a"), F.col("target").alias("b")).distinct()
-    nodes = g.select("a").union(g.select("b")).distinct().toDF("node")
-    return graphs.instability(nodes, g)
+    """Layers of the import graph's condensation, over all programs: which files can be read before which. Files that import one
+    another in a circle are one component, in one layer."""
+    nodes, edges = resolution.import_graph(_programs(spark, d))
+    edges = graphs.kept(edges)
+    components = graphs.kept(graphs.strong_components(nodes, edges))
+    placed = graphs.layers(components, graphs.condensation(edges, components))
+    return components.join(placed, "component").select("node", "component", "cyclic", "layer")
